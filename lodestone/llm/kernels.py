@@ -187,12 +187,28 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def covered(starts: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
     """Which of n places lie in some [start, end)."""
-    change = np.zeros(n + 1, np.int64)
-    np.add.at(change, starts, 1)
-    np.add.at(change, ends, -1)
+    change = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(ends, minlength=n + 1)[: n + 1]
     return np.cumsum(change[:-1]) > 0
 
 
+def binaries(data: np.ndarray, counts: np.ndarray) -> pa.Array:
+    """A binary column whose rows hold so many items of `data` each, without a loop."""
+    offsets = np.zeros(len(counts) + 1, np.int64)
+    np.cumsum(counts * data.dtype.itemsize, out=offsets[1:])
+    column = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), len(counts), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))]
+    )
+    return column.cast(pa.binary())
+
+
+def by_group(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First index and length of each run of equal values."""
+    if not len(group):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    first = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1])))
+    return first, np.diff(np.append(first, len(group)))
+
+
 def pack(**arrays: np.ndarray) -> bytes:
     """Named arrays as one value; unpack() gives them back."""
     head, body = [], []

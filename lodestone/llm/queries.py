@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import mixing, warc
+from lodestone.llm import mixing, substring, warc
 from lodestone.llm.common import table
 
 
@@ -14,6 +14,11 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages")))
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
+    return found.select("doc_id", "n_words", "n_removed", found["kept"].alias("kept_sha256"))
+
+
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -35,6 +40,19 @@ FROM (SELECT f.*, md5(concat(page_id, '|', replace(replace(coalesce(url, ''), ch
   CASE WHEN page_id = first_id AND count(*) OVER (PARTITION BY h) > 1 THEN 1 ELSE 0 END)) AS m FROM f JOIN pages USING (page_id)) f
 """.replace("{parts}", ", ".join(f"to_base(('0x' || substr(h, {5 * i + 1}, 5))::BIGINT, 32, 4)" for i in range(8)))
 
+OP8_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
+s AS (SELECT doc_id, i, md5(array_to_string(ws[i:i + 34], ' ')) AS h FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 33)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY h) AS n FROM s) WHERE n > 1),
+c AS (
+  SELECT w.*, max(CASE WHEN r.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY w.doc_id ORDER BY w.i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM w LEFT JOIN r ON w.doc_id = r.doc_id AND w.i = r.i
+), k AS (SELECT doc_id, count(*) AS n, sum(gone) AS gone, string_agg(word, ' ' ORDER BY i) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_words, coalesce(gone, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k ON d.doc_id = k.doc_id
+"""
+
 OP9_SQL = """
 WITH RECURSIVE s AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS o FROM documents
@@ -61,4 +79,4 @@ SELECT q.doc_id, source, size, source_size, target, coalesce(taken, 0)::BIGINT A
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op9_mix_sources": OP9_SQL}
+    return {"op4_warc": OP4_SQL, "op8_substring": OP8_SQL, "op9_mix_sources": OP9_SQL}
