@@ -17,8 +17,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's estimate of the input's size; only partition counts depend on it."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Size of the files or tables below df; only partition counts depend on it."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 
 def parts_for(df: DataFrame, mb: float, least: int = 8) -> int:

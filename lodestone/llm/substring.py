@@ -178,7 +178,8 @@ def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 8, texts: bool
     docs = R.keyed(docs)
     runs = R.repeated_runs(docs, width, gram, True, mb_per_shard=64)
     shards = parts_for(docs, 40)
-    found = docs.join(runs.hint("shuffle_hash"), "key").select("key", "text", "runs")
+    # The same columns as in the last join, so that both share one shuffle of the texts.
+    found = docs.join(runs.hint("shuffle_hash"), "key").select("doc_id", "key", "text", "runs")
     blocks = found.mapInArrow(fingerprints(width, shards), R.BLOCK)
     hits = blocks.repartitionById(shards, F.col("shard")).mapInArrow(groups(shards), R.BLOCK)
     spans = hits.groupBy("key").agg(F.collect_list("blob").alias("spans"))
