@@ -27,7 +27,7 @@ def parts_for(df: DataFrame, mb: float, least: int = 8) -> int:
     return max(least, min(100_000, math.ceil(estimated_bytes(df) / (mb * 1e6))))
 
 
-def fold(doc_id: str = "doc_id", seed: int = 0) -> Column:
+def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of doc_id as text, by which rows are held out."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, mixing, near, substring, suffix, warc
-from lodestone.llm.common import table
+from lodestone.llm import decontaminate, language, mixing, near, quality, substring, suffix, warc
+from lodestone.llm.common import fold, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +24,19 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(warc.write(table(spark, sf_dir, "pages")))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").where(fold() % 3 != 1).select("doc_id", F.col("quality").alias("label"))
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", (fold() % 3 == 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = language.predict(docs, language.fit(docs.where(fold() % 4 != 2)))
+    return found.select("doc_id", (fold() % 4 == 2).alias("held_out"), "lang_pred", "score")
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
     return found.select("doc_id", "n_words", "n_removed", found["kept"].alias("kept_sha256"))
