@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, language, mixing, near, quality, substring, suffix, warc
+from lodestone.llm import decontaminate, language, mixing, near, quality, scoring, substring, suffix, warc
 from lodestone.llm.common import fold, table
 
 
@@ -16,6 +16,11 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scoring.score(table(spark, sf_dir, "documents"), fold() % 7 != 2)
+    return found.withColumn("held_out", fold() % 7 == 2).drop("key")
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("key")
 
