@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import decontaminate, language, mixing, near, quality, scoring, substring, suffix, warc
+from lodestone.llm import decontaminate, embeddings, language, mixing, near, quality, scoring, substring, suffix, warc
 from lodestone.llm.common import fold, table
 
 
@@ -42,6 +42,10 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", (fold() % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.group(table(spark, sf_dir, "embeddings"))
+
+
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
     return found.select("doc_id", "n_words", "n_removed", found["kept"].alias("kept_sha256"))
@@ -72,6 +76,17 @@ FROM (SELECT f.*, md5(concat(page_id, '|', replace(replace(coalesce(url, ''), ch
   CASE WHEN page_id = first_id AND count(*) OVER (PARTITION BY h) > 1 THEN 1 ELSE 0 END)) AS m FROM f JOIN pages USING (page_id)) f
 """.replace("{parts}", ", ".join(f"to_base(('0x' || substr(h, {5 * i + 1}, 5))::BIGINT, 32, 4)" for i in range(8)))
 
+OP7_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+n AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS norm FROM v),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE list_inner_product(a.e, b.e) / (a.norm * b.norm) >= 0.9),
+r AS (SELECT vec_id AS a, vec_id AS b FROM v UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+c AS (SELECT a, min(b) AS component_id FROM r GROUP BY a),
+k AS (SELECT a, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON c.a = vec_id LEFT JOIN k ON k.a = vec_id
+"""
+
 OP8_SQL = """
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
 w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS i FROM d),
@@ -126,4 +141,4 @@ FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op8_substring": OP8_SQL, "op9_mix_sources": OP9_SQL, "op10_minhash": OP10_SQL}
+    return {"op4_warc": OP4_SQL, "op7_cover_tree": OP7_SQL, "op8_substring": OP8_SQL, "op9_mix_sources": OP9_SQL, "op10_minhash": OP10_SQL}
