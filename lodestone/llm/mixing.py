@@ -30,7 +30,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, repeats:
     dealt by weight, none above `repeats` times its source.
 
     A source stops at its bound if its bound by weight is no more than the level the rest
-    would reach; in the order of that ratio, the first level below the next ratio holds.
+    would reach; of the levels that stay below their ratio the first, which is the greatest, holds.
     """
     by_source = Window.orderBy(F.col("source").asc_nulls_last())
     ratio = Window.orderBy("ratio", F.col("source").asc_nulls_last())
@@ -48,7 +48,7 @@ def targets(sizes: DataFrame, weights: tuple[float, ...], share: float, repeats:
         .withColumn("capped", F.sum(bound).over(upto) - bound)
         .withColumn("open", F.sum("weight").over(every) - (F.sum("weight").over(upto) - F.col("weight")))
         .withColumn("level", (F.col("budget") - F.col("capped")) / F.col("open"))
-        .withColumn("reached", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
+        .withColumn("reached", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every))
     )
     target = F.least(bound, F.coalesce(F.col("weight") * F.col("reached"), bound))
     return ranked.select("source", "source_size", target.alias("target"), "budget")

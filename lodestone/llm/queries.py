@@ -112,7 +112,7 @@ WITH RECURSIVE s AS (
   SELECT *, (budget - (sum(bound) OVER u - bound)) / (sum(w) OVER () - (sum(w) OVER u - w)) AS level, bound / w AS ratio
   FROM c WINDOW u AS (ORDER BY bound / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)
 ), t AS (
-  SELECT source, source_size, budget, least(bound, coalesce(w * min(CASE WHEN level <= ratio THEN level END) OVER (), bound)) AS target FROM l
+  SELECT source, source_size, budget, least(bound, coalesce(w * max(CASE WHEN level <= ratio THEN level END) OVER (), bound)) AS target FROM l
 ), q AS (
   SELECT s.*, t.source_size, t.budget, t.target, sum(size) OVER (PARTITION BY s.source ORDER BY o, doc_id ROWS UNBOUNDED PRECEDING) AS queued
   FROM s JOIN t ON s.source IS NOT DISTINCT FROM t.source
