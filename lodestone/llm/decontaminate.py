@@ -150,29 +150,41 @@ class Items:
                     best[i] = (s, size + self.width - 1, d, score)
 
 
+    def hits(self, column: pa.Array, sim: float) -> Iterator[tuple[int, list[tuple]]]:
+        """Rows with matches, and these."""
+        data, offsets = K.text_bytes(column)
+        for a, b in K.chunks(offsets):
+            w = K.Words(K.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])
+            h, size = w.hashes(), np.diff(w.rows)
+            touched = (size < self.width) & (size > 0)
+            if self.short:
+                touched |= size > 0
+            if len(h) >= self.width:
+                at = self.seen(K.POLY_A.windows(h, self.width))
+                touched[np.searchsorted(w.rows, at, "right") - 1] = True
+            for i in np.flatnonzero(touched):
+                if found := self.match(h[w.rows[i] : w.rows[i + 1]], sim):
+                    yield a + int(i), found
+
+
+def indexes(items: DataFrame, width: int) -> Iterator[Items]:
+    """Indexes of all items (item_id, text), each of a slice of bounded size."""
+    items = items.select("item_id", "text").where("text is not null").distinct()
+    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    slices = max(1, -(-total // (SLICE // 2)))
+    for i in range(slices):
+        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i) if slices > 1 else items
+        yield Items([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()], width)
+
+
 def scan(items: Items, sim: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        kinds = [pa.int64()] * 5 + [pa.int32(), pa.float64()]
         for batch in batches:
-            data, offsets = K.text_bytes(batch.column("text"))
             ids, keys = batch.column("doc_id"), batch.column("key")
-            out = []
-            for a, b in K.chunks(offsets):
-                w = K.Words(K.LOWER[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a])
-                h = w.hashes()
-                size = np.diff(w.rows)
-                touched = np.zeros(b - a, bool)
-                if len(h) >= items.width:
-                    at = items.seen(K.POLY_A.windows(h, items.width))
-                    touched[np.searchsorted(w.rows, at, "right") - 1] = True
-                touched |= (size < items.width) & (size > 0)
-                if items.short:
-                    touched |= size > 0
-                for i in np.flatnonzero(touched):
-                    for hit in items.match(h[w.rows[i] : w.rows[i + 1]], sim):
-                        out.append((ids[a + int(i)].as_py(), keys[a + int(i)].as_py(), *hit))
+            out = [(ids[i].as_py(), keys[i].as_py(), *hit) for i, found in items.hits(batch.column("text"), sim) for hit in found]
             if out:
-                kinds = [pa.int64()] * 5 + [pa.int32(), pa.float64()]
-                names = [x.split()[0] for x in SCHEMA.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     return run
@@ -182,15 +194,21 @@ def matches(docs: DataFrame, items: DataFrame, sim: float = 0.75, width: int = 5
     """(doc_id, key, item_id, start, n_words, distance, similarity): for each row and item
     the most similar window, the first of equals, if it reaches `sim`."""
     docs = R.keyed(docs)
-    items = items.select("item_id", "text").where("text is not null").distinct()
-    total = items.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
-    slices = max(1, -(-total // (SLICE // 2)))
-    found = []
-    for i in range(slices):
-        part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i) if slices > 1 else items
-        index = Items([(r.item_id, r.text) for r in part.orderBy("item_id", "text").collect()], width)
-        found.append(docs.mapInArrow(scan(index, sim), SCHEMA))
-    return reduce(DataFrame.unionByName, found)
+    return reduce(DataFrame.unionByName, [docs.mapInArrow(scan(x, sim), SCHEMA) for x in indexes(items, width)])
+
+
+def clean(docs: DataFrame, items: DataFrame, sim: float = 0.75, width: int = 5) -> DataFrame:
+    """The rows, all columns, that match no item; nothing is shuffled."""
+    for index in indexes(items, width):
+
+        def run(batches: Iterator[pa.RecordBatch], index: Items = index) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                ok = np.ones(batch.num_rows, bool)
+                ok[[i for i, _ in index.hits(batch.column("text"), sim)]] = False
+                yield batch.filter(pa.array(ok))
+
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs
 
 
 def brute(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], sim: float, width: int = 5) -> dict:

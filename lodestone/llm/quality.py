@@ -124,27 +124,39 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, epochs: int
     return np.frombuffer(bytes(blob.weights), np.float32) if blob else np.zeros((1 << BITS) + 1, np.float32)
 
 
-def scorer(weights: np.ndarray) -> Callable:
+def scores_of(column: pa.Array, weights: np.ndarray) -> np.ndarray:
+    data, offsets = K.text_bytes(column)
+    out = np.full(len(column), float(weights[-1]))
+    for a, b in K.chunks(offsets):
+        slots, rows = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        size = np.diff(rows)
+        full = size > 0
+        if full.any():
+            sums = np.add.reduceat(weights[slots].astype(np.float64), rows[:-1][full])
+            out[a:b][full] += sums * SCALE / size[full]
+    return 1 / (1 + np.exp(-np.clip(out, -35, 35)))
+
+
+def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
+    """(doc_id, key, score) for every row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = K.text_bytes(batch.column("text"))
-            scores = np.full(batch.num_rows, float(weights[-1]))
-            for a, b in K.chunks(offsets):
-                slots, rows = features(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                size = np.diff(rows)
-                full = size > 0
-                if full.any():
-                    sums = np.add.reduceat(weights[slots].astype(np.float64), rows[:-1][full])
-                    scores[a:b][full] += sums * SCALE / size[full]
-            p = 1 / (1 + np.exp(-np.clip(scores, -35, 35)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(p)], ["doc_id", "key", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("key"), pa.array(scores_of(batch.column("text"), weights))], ["doc_id", "key", "score"]
+            )
 
-    return run
+    return R.keyed(docs).mapInArrow(run, "doc_id long, key long, score double")
 
 
-def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """(doc_id, key, score) for every row."""
-    return R.keyed(docs).mapInArrow(scorer(weights), "doc_id long, key long, score double")
+def keep(docs: DataFrame, weights: np.ndarray, least: float = 0.5) -> DataFrame:
+    """The rows, all columns, whose score is at least so high; nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(scores_of(batch.column("text"), weights) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def tokens(text: str) -> list[str]:
