@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -41,3 +44,15 @@ def shared_dir(spark: SparkSession, kind: str) -> str:
     elif not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends this package to Python workers, once per application, wherever they start."""
+    context = spark.sparkContext
+    if getattr(context, "_lodestone_shipped", False):
+        return
+    folder = tempfile.mkdtemp(prefix="lodestone-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    root = Path(__file__).resolve().parent.parent
+    context.addPyFile(shutil.make_archive(f"{folder}/lodestone", "zip", root, "lodestone"))
+    context._lodestone_shipped = True
