@@ -5,14 +5,16 @@ words the whole sequence). Two collections of `m` groups of `r` minhashes each a
 every pair of a group from the first and one from the second is a table key, so m * m
 tables of 2r minhashes cost 2 * m * r minhashes instead of m * m * 2r. Documents of equal
 sets are merged first. A first round verifies for each class the partner with which it
-shares most tables; a second takes every pair of a bucket whose members aren't connected
-yet, and verifies those whose sizes and minhashes allow the threshold. Links count if
+shares most tables. A second takes the buckets whose members aren't connected yet: pairs
+whose sizes and minhashes allow the threshold span clusters, and within clusters every
+such pair that links found before don't connect is verified where its sets meet. Links count if
 100 * intersection >= 75 * union of the whole sets. At the threshold itself a link shares
 no table, or too few minhashes, with probability about 1e-4; above it, much less.
 
 Null and blank texts have empty sets and link with nothing. A null doc_id comes after all
-others and gives a null component unless a document with an id is linked. Rows of equal
-doc_id count as one document per set. An empty table gives no rows.
+others and gives a null component unless a document with an id is linked. Of a group the
+row of least doc_id, then least hash of doc_id and text, is kept; rows equal in both are
+kept alike. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -166,52 +168,114 @@ def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket in different components that sizes and minhashes allow to be
-    linked. Rows come sorted by bucket; comparisons go by blocks, and few pairs leave."""
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows that come sorted by the named columns."""
     held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in names], 1)
+        differs = np.flatnonzero((keys[1:] != keys[:-1]).any(1))
+        cut = int(differs[-1]) + 1 if len(differs) else 0
+        if held and (cut or (keys[0] != last).any()):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+        last = keys[-1]
+    if held:
+        yield pa.Table.from_batches(held)
 
-    def members(rows):
-        t = pa.Table.from_batches(rows)
-        if not t.num_rows:
-            return
-        bucket = t.column("bucket").to_numpy()
-        cid, comp, n = (t.column(c).to_numpy() for c in ("cid", "component", "n"))
+
+def sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return 100 * np.minimum(a, b) >= 75 * np.maximum(a, b)
+
+
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a forest that connects what the edges (a, b) connect."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(nodes))
+    while len(x):
+        low = np.minimum(root[x], root[y])
+        np.minimum.at(root, root[x], low)
+        np.minimum.at(root, root[y], low)
+        root = root[root]
+        differ = root[x] != root[y]
+        x, y = x[differ], y[differ]
+    while (root[root] != root).any():
+        root = root[root]
+    some = np.flatnonzero(root != np.arange(len(root)))
+    return nodes[some], nodes[root[some]]
+
+
+def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of a partition's candidates: pairs of a bucket in different
+    components that sizes and minhashes allow to be linked. Comparisons go by blocks."""
+    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    more, waiting = [], 0
+    for t in whole_groups(batches, ["bucket"]):
+        bucket, cid, comp, n = (t.column(c).to_numpy() for c in ("bucket", "cid", "component", "n"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(cid), -1)
-        out = []
         for f, size in zip(*K.by_group(bucket), strict=True):
             for i in range(f, f + size, 64):
                 x, y = slice(i, min(i + 64, f + size)), slice(i, f + size)
-                ok = comp[x, None] != comp[None, y]
-                low, high = np.minimum(n[x, None], n[None, y]), np.maximum(n[x, None], n[None, y])
-                ok &= 100 * low >= 75 * high
-                p, q = np.nonzero(ok)
+                p, q = np.nonzero((comp[x, None] != comp[None, y]) & sizes_allow(n[x, None], n[None, y]))
                 p, q = p + i, q + i
                 keep = q > p
                 p, q = p[keep], q[keep]
                 for j in range(0, len(p), 1 << 16):
-                    a, b = p[j : j + (1 << 16)], q[j : j + (1 << 16)]
-                    hit = (sig[a] == sig[b]).sum(1) >= AGREE
-                    out.append(np.stack([cid[a[hit]], cid[b[hit]]], 1))
+                    u, v = p[j : j + (1 << 16)], q[j : j + (1 << 16)]
+                    hit = (sig[u] == sig[v]).sum(1) >= AGREE
+                    if hit.any():
+                        more.append((cid[u[hit]], cid[v[hit]]))
+                        waiting += len(more[-1][0])
+                if waiting > max(200_000, 2 * len(a)):
+                    a, b = spanning(np.concatenate([a, *[m[0] for m in more]]), np.concatenate([b, *[m[1] for m in more]]))
+                    more, waiting = [], 0
+    a, b = spanning(np.concatenate([a, *[m[0] for m in more]]), np.concatenate([b, *[m[1] for m in more]]))
+    for i in range(0, len(a), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], ["a", "b"])
+
+
+def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between components within a block of a candidate cluster, or between two: every
+    allowed pair is tested on whole sets unless links found before connect it."""
+    for t in whole_groups(batches, ["cluster", "low", "high"]):
+        keys = np.stack([t.column(c).to_numpy() for c in ("cluster", "low", "high")], 1)
+        cid, comp, n, block = (t.column(c).to_numpy() for c in ("cid", "component", "n", "block"))
+        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(cid), -1)
+        items = t.column("items")
+        cut = np.concatenate(([0], np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1, [len(cid)]))
+        out = []
+        for f, e in zip(cut[:-1], cut[1:], strict=True):
+            sets = [np.frombuffer(items[int(i)].as_buffer(), U) for i in range(f, e)]
+            _, label = np.unique(comp[f:e], return_inverse=True)
+            inner = keys[f, 1] == keys[f, 2]
+            here = np.arange(e - f)
+            for i in range(e - f):
+                others = here[i + 1 :] if inner else here[block[f:e] == keys[f, 2]]
+                if not inner and block[f + i] != keys[f, 1]:
+                    continue
+                others = others[(label[others] != label[i]) & sizes_allow(n[f:e][others], n[f + i])]
+                others = others[(sig[f:e][others] == sig[f + i]).sum(1) >= AGREE]
+                while len(others):
+                    part, others = others[:64], others[64:]
+                    flat = np.concatenate([sets[j] for j in part])
+                    size = np.array([len(sets[j]) for j in part])
+                    mine = sets[i]
+                    found = mine[np.minimum(np.searchsorted(mine, flat), len(mine) - 1)] == flat
+                    both = np.add.reduceat(found.astype(np.int64), np.cumsum(size) - size)
+                    for j in part[100 * both >= 75 * (size + len(mine) - both)]:
+                        if label[j] != label[i]:
+                            out.append((cid[f + i], cid[f + j]))
+                            label[label == label[j]] = label[i]
+                    others = others[label[others] != label[i]]
         if out:
-            pairs = np.unique(np.sort(np.concatenate(out), 1), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 1]), pa.array(pairs[:, 0])], ["a", "b"])
-
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        bucket = batch.column("bucket").to_numpy()
-        cut = int(np.searchsorted(bucket, bucket[-1]))
-        if held and (cut or bucket[0] != last):
-            yield from members([*held, batch.slice(0, cut)])
-            held = []
-        elif cut:
-            yield from members([batch.slice(0, cut)])
-        held.append(batch.slice(cut))
-        last = bucket[-1]
-    if held:
-        yield from members(held)
+            x = np.array(out, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x[:, 0]), pa.array(x[:, 1])], ["a", "b"])
 
 
 def full_sets(width: int) -> Callable:
@@ -241,18 +305,43 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(keep) for c in "ab"], ["a", "b"])
 
 
+def sets_of(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
+    """(cid, items): whole sets of classes (cid, key), from the texts again."""
+    texts = docs.join(wanted.hint("shuffle_hash"), "key").select("cid", "text")
+    return texts.mapInArrow(full_sets(width), "cid long, items binary").dropDuplicates(["cid"])
+
+
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Of pairs (a, b) of classes, those that are links."""
-    pairs = saved(pairs.select("a", "b"), "near-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "key"), "cid")
-    texts = docs.select("key", "text").join(wanted.hint("shuffle_hash"), "key").select("cid", "text")
-    sets = saved(texts.mapInArrow(full_sets(width), "cid long, items binary").dropDuplicates(["cid"]), "near-sets")
+    sets = saved(sets_of(wanted, docs, width), "near-sets")
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("x")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
     return saved(both.mapInArrow(linked, "a long, b long"), "near-links")
 
 
-def group(docs: DataFrame, width: int = 5) -> DataFrame:
+def settled(forest: DataFrame, placed: DataFrame, classes: DataFrame, docs: DataFrame, width: int, shards: int, per_block: int) -> DataFrame:
+    """Links of candidate clusters, the components of the forest. Clusters of more than
+    per_block members are cut into blocks; every pair of blocks is a task of its own, so no
+    task holds more than two."""
+    clusters = saved(components(forest, "near-forest").withColumnsRenamed({"node": "cid", "component": "cluster"}), "near-clusters")
+    sets = sets_of(clusters.join(classes.select("cid", "key"), "cid").select("cid", "key"), docs, width)
+    blocks = F.ceil(F.col("members") / F.lit(per_block)).cast("int")
+    sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "cluster").where("members > 1")
+    rows = (
+        sized.join(placed, "cid", "left")
+        .select("cluster", "cid", F.coalesce("component", "cid").alias("component"), blocks.alias("blocks"))
+        .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        .join(classes.select("cid", "n", "sig"), "cid")
+        .join(sets, "cid")
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "component", "n", "sig", "items")
+    )
+    dealt = rows.repartition(shards, "cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "cid")
+    return saved(dealt.mapInArrow(settle, "a long, b long"), "near-links")
+
+
+def group(docs: DataFrame, width: int = 5, per_block: int = 1024) -> DataFrame:
     """(doc_id, key, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
     docs = R.keyed(docs)
     sigs = saved(
@@ -260,8 +349,8 @@ def group(docs: DataFrame, width: int = 5) -> DataFrame:
     )
     classes = saved(
         sigs.where("n > 0").groupBy("f1", "f2").agg(
-            F.min("doc").alias("doc"), F.min("key").alias("key"), F.first("n").alias("n"), F.first("sig").alias("sig")
-        ).withColumn("cid", F.monotonically_increasing_id()),
+            F.min(F.struct("doc", "key")).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")
+        ).select("f1", "f2", "n", "sig", "least", F.col("least.key").alias("key"), F.monotonically_increasing_id().alias("cid")),
         "near-classes",
     )
     shards = parts_for(docs, 40)
@@ -270,37 +359,31 @@ def group(docs: DataFrame, width: int = 5) -> DataFrame:
 
     best = found.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n"))
     best = best.groupBy("a").agg(F.max(F.struct("n", -F.col("b"))).alias("x")).select("a", (-F.col("x.col2")).alias("b"))
-    links = verified(best, classes, docs, width)
-
-    part = components(links, "near-components")
-    placed = (
-        found.where("kind = 0")
-        .select(F.col("a").alias("bucket"), F.col("b").alias("cid"))
-        .join(part.withColumnRenamed("node", "cid"), "cid", "left")
-        .select("bucket", "cid", F.coalesce("component", "cid").alias("component"))
-    )
+    links = verified(saved(best, "near-best"), classes, docs, width)
+
+    part = components(links, "near-components").withColumnRenamed("node", "cid")
+    members = found.where("kind = 0").select(F.col("a").alias("bucket"), F.col("b").alias("cid"))
+    placed = members.join(part, "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
     open_ = placed.join(mixed.select("bucket"), "bucket").join(classes.select("cid", "n", "sig"), "cid")
-    rest = (
+    forest = (
         open_.select("bucket", "cid", "component", "n", "sig")
-        .repartition(shards, "bucket")
+        .repartitionById(shards, F.pmod("bucket", F.lit(shards)).cast("int"))
         .sortWithinPartitions("bucket", "cid")
         .mapInArrow(apart, "a long, b long")
-        .distinct()
-        .join(best, ["a", "b"], "left_anti")
     )
-    links = links.unionByName(verified(rest, classes, docs, width))
-    part = components(links, "near-components")
+    links = links.unionByName(settled(forest, part, classes, docs, width, shards, per_block))
+    part = components(links, "near-components").withColumnRenamed("node", "cid")
 
-    owner = classes.select("f1", "f2", "cid", F.col("doc").alias("least")).join(part.withColumnRenamed("node", "cid"), "cid", "left")
-    owner = owner.withColumn("component", F.coalesce("component", "cid"))
-    least = owner.groupBy("component").agg(F.min("least").alias("first"))
-    ids = owner.join(least, "component").select("f1", "f2", "first")
+    owner = classes.select("f1", "f2", "cid", "least").join(part, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    firsts = owner.groupBy("component").agg(F.min("least").alias("first"))
+    ids = owner.join(firsts, "component").select("f1", "f2", "first")
     out = sigs.select("key", "doc", "n", "f1", "f2").join(ids, ["f1", "f2"], "left")
-    some = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    out = out.withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(F.col("doc")))
+    own = F.struct("doc", "key")
+    out = out.withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(own))
+    some = lambda c: F.when(c != LAST, c)
     return out.select(
-        some("doc").alias("doc_id"), "key", F.col("n").alias("n_shingles"), some("first").alias("component_id"), (F.col("doc") == F.col("first")).alias("kept")
+        some(F.col("doc")).alias("doc_id"), "key", F.col("n").alias("n_shingles"), some(F.col("first.doc")).alias("component_id"), (F.col("first") == own).alias("kept")
     )
 
 
