@@ -23,8 +23,8 @@ from lodestone.llm import kernels as K
 from lodestone.llm.common import parts_for
 
 U = np.uint64
-#: Place and number of windows of a run, with their anchor.
-RUN = np.dtype([("anchor", "<u8"), ("start", "<i4"), ("count", "<i4")])
+#: Place and number of windows of a run.
+SPAN = np.dtype([("start", "<i4"), ("count", "<i4")])
 CELLS, PROBES, DIRECT = 0, 1, 2
 FLUSH = 8 << 20
 BLOCK = "shard int, kind int, key long, blob binary"
@@ -32,27 +32,27 @@ BLOCK_PA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("key", pa.in
 
 
 class CountMin:
-    """Two rows of saturating counters; estimates are never too low."""
+    """Two rows of saturating counters of 32-bit values; estimates are never too low."""
 
     def __init__(self, bits: int = 22):
         self.bits, self.rows = bits, np.zeros((2, 1 << bits), np.uint8)
 
     def cells(self, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        m = U((1 << self.bits) - 1)
-        return ((v >> U(8)) & m).astype(np.int64), ((v >> U(36)) & m).astype(np.int64)
+        x, m = K.mix(v.astype(U)), U((1 << self.bits) - 1)
+        return (x & m).astype(np.int64), ((x >> U(32)) & m).astype(np.int64)
 
     def sparse(self, v: np.ndarray, counts: np.ndarray) -> dict[str, np.ndarray]:
-        """The sketch of these values alone, as the cells that aren't 0."""
+        """The sketch of these values alone, as the distances of the cells that aren't 0."""
         out = {}
         for name, c in zip("ab", self.cells(v), strict=True):
             cell, at = np.unique(c, return_inverse=True)
-            out[name] = cell.astype(np.uint32)
+            out[name] = np.diff(cell, prepend=0).astype(np.uint32)
             out["n" + name] = np.minimum(np.bincount(at, counts), 255).astype(np.uint8)
         return out
 
     def merge(self, x: dict[str, np.ndarray]) -> None:
         for row, name in zip(self.rows, "ab", strict=True):
-            cell = x[name]
+            cell = np.cumsum(x[name].astype(np.int64))
             row[cell] = np.minimum(row[cell].astype(np.int32) + x["n" + name], 255)
 
     def estimate(self, v: np.ndarray) -> np.ndarray:
@@ -116,24 +116,30 @@ def per_row(keys: np.ndarray, records: np.ndarray, shards: int, kind: int = DIRE
     )
 
 
-def probe(width: int, gram: int, words: bool, shards: int) -> Callable:
+def probe(width: int, gram: int, words: bool, shards: int, bits: int) -> Callable:
     """Map stage: sketches, and the windows to be tested with them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, held, size = CountMin(), [], 0
+        sketch, held, size = CountMin(bits), [], 0
 
         def flush():
             chosen, anchor, key, start, count = (np.concatenate(x) for x in zip(*held, strict=True))
             v, n = np.unique(chosen, return_counts=True)
-            out = emit(shard_of(v, shards), CELLS, lambda i: K.pack(**sketch.sparse(v[i], n[i])), shards)
-            records = np.empty(len(anchor), RUN)
-            records["anchor"], records["start"], records["count"] = anchor, start, count
+            # 32 bits of an anchor are enough within a shard: others only count too high.
+            out = emit(shard_of(v, shards), CELLS, lambda i: K.pack(**sketch.sparse(v[i].astype(np.uint32), n[i])), shards)
+            spans = np.empty(len(anchor), SPAN)
+            spans["start"], spans["count"] = start, count
             # What repeats within these documents needs no answer from others.
             repeats = np.isin(anchor, v[n > 1])
             if repeats.any():
-                yield per_row(key[repeats], records[repeats], shards)
-            records, key = records[~repeats], key[~repeats]
-            out += emit(shard_of(records["anchor"], shards), PROBES, lambda i: K.pack(key=key[i], run=records[i].view("<u8")), shards)
+                yield per_row(key[repeats], spans[repeats], shards)
+            anchor, start, count, key = (x[~repeats] for x in (anchor, start, count, key))
+
+            def make(i):
+                first, rows = K.by_group(key[i])
+                return K.pack(v=anchor[i].astype(np.uint32), start=start[i].astype(np.int32), count=count[i].astype(np.int32), key=key[i][first], rows=rows.astype(np.int32))
+
+            out += emit(shard_of(anchor, shards), PROBES, make, shards)
             if out:
                 yield to_batch(out)
 
@@ -154,11 +160,11 @@ def probe(width: int, gram: int, words: bool, shards: int) -> Callable:
     return run
 
 
-def survivors(shards: int) -> Callable:
+def survivors(shards: int, bits: int) -> Callable:
     """Reduce stage: merges the sketches of a shard, then lets through what may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch, held = CountMin(), []
+        sketch, held = CountMin(bits), []
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
             blobs = batch.column("blob")
@@ -169,21 +175,30 @@ def survivors(shards: int) -> Callable:
                 yield batch.filter(pa.array(kinds == DIRECT))
         for blob in held:
             x = K.unpack(blob)
-            run, key = x["run"].view(RUN), x["key"]
-            hit = sketch.estimate(run["anchor"]) > 1
+            hit = sketch.estimate(x["v"]) > 1
             if hit.any():
-                yield per_row(key[hit], run[hit], shards)
+                spans = np.empty(int(hit.sum()), SPAN)
+                spans["start"], spans["count"] = x["start"][hit], x["count"][hit]
+                yield per_row(np.repeat(x["key"], x["rows"])[hit], spans, shards)
 
     return run
 
 
-def repeated_runs(docs: DataFrame, width: int, gram: int, words: bool, mb_per_shard: float) -> DataFrame:
+def repeated_runs(docs: DataFrame, width: int, gram: int, words: bool, mb_per_shard: float, bits: int) -> DataFrame:
     """(key, runs array<binary>): for each keyed row, the runs of windows that may repeat."""
     shards = parts_for(docs, mb_per_shard)
-    blocks = docs.select("key", "text").mapInArrow(probe(width, gram, words, shards), BLOCK)
-    hits = blocks.repartitionById(shards, F.col("shard")).mapInArrow(survivors(shards), BLOCK)
+    blocks = docs.select("key", "text").mapInArrow(probe(width, gram, words, shards, bits), BLOCK)
+    hits = blocks.repartitionById(shards, F.col("shard")).mapInArrow(survivors(shards, bits), BLOCK)
     return hits.groupBy("key").agg(F.collect_list("blob").alias("runs"))
 
 
 def joined_runs(column: pa.Array, at: int) -> np.ndarray:
-    return np.unique(np.frombuffer(b"".join(column[at].as_py() or ()), RUN))
+    """A row's runs in order, each once."""
+    packed = np.unique(np.frombuffer(b"".join(column[at].as_py() or ()), "<i8"))
+    spans = packed.view(SPAN)
+    return spans[np.argsort(spans["start"], kind="stable")]
+
+
+def anchors_of(h: np.ndarray, starts: np.ndarray, counts: np.ndarray, width: int, gram: int) -> np.ndarray:
+    """The anchor of each run of windows."""
+    return K.least_between(K.POLY_A.windows(h, gram), starts, starts + counts + width - gram)

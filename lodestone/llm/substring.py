@@ -25,7 +25,7 @@ from lodestone.llm import repeats as R
 from lodestone.llm.common import parts_for
 
 U = np.uint64
-SPAN = np.dtype([("start", "<i4"), ("count", "<i4")])
+SPAN = R.SPAN
 
 
 def spans_from(starts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -38,7 +38,7 @@ def spans_from(starts: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.nd
     return out, group[first]
 
 
-def fingerprints(width: int, shards: int) -> Callable:
+def fingerprints(width: int, gram: int, shards: int) -> Callable:
     """Map stage: 128-bit fingerprints of the windows that may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -64,7 +64,8 @@ def fingerprints(width: int, shards: int) -> Callable:
 
             def make(i):
                 j = sent[i]
-                return K.pack(h1=h1[j], h2=h2[j], key=key[j], start=start[j].astype(np.int32), twice=twice[i])
+                at, rows = K.by_group(key[j])
+                return K.pack(h1=h1[j], h2=h2[j], key=key[j][at], rows=rows.astype(np.int32), start=start[j].astype(np.int32), twice=twice[i])
 
             out = R.emit(shard, R.PROBES, make, shards)
             if out:
@@ -78,10 +79,10 @@ def fingerprints(width: int, shards: int) -> Callable:
                 w1, w2 = K.POLY_A.windows(h, width), K.POLY_B.windows(h, width)
                 for i in range(a, b):
                     r = R.joined_runs(runs, i)
-                    r = r[np.argsort(r["start"], kind="stable")]
-                    start = K.ranges(r["start"], r["count"])
-                    at = start + rows[i - a]
-                    held.append((np.repeat(r["anchor"], r["count"]), w1[at], w2[at], np.full(len(at), keys[i]), start))
+                    first = r["start"] + rows[i - a]
+                    anchor = R.anchors_of(h[rows[i - a] : rows[i - a + 1]], r["start"].astype(np.int64), r["count"], width, gram)
+                    at = K.ranges(first, r["count"])
+                    held.append((np.repeat(anchor, r["count"]), w1[at], w2[at], np.full(len(at), keys[i]), at - rows[i - a]))
                     size += len(at)
                 if size >= 400_000:
                     yield from flush()
@@ -99,7 +100,9 @@ def groups(shards: int) -> Callable:
         held = []
         for batch in batches:
             kinds = batch.column("kind").to_numpy()
-            held += [K.unpack(batch.column("blob")[i].as_py()) for i in np.flatnonzero(kinds == R.PROBES)]
+            for i in np.flatnonzero(kinds == R.PROBES):
+                x = K.unpack(batch.column("blob")[i].as_py())
+                held.append(x | {"key": np.repeat(x["key"], x["rows"])})
             if (kinds == R.DIRECT).any():
                 yield batch.filter(pa.array(kinds == R.DIRECT))
         if not held:
@@ -176,11 +179,11 @@ def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 8, texts: bool
     """(doc_id, n_words, n_removed, kept, key): kept words joined by one space, or with
     texts=False their SHA-256 in hex."""
     docs = R.keyed(docs)
-    runs = R.repeated_runs(docs, width, gram, True, mb_per_shard=64)
+    runs = R.repeated_runs(docs, width, gram, True, mb_per_shard=64, bits=22)
     shards = parts_for(docs, 40)
     # The same columns as in the last join, so that both share one shuffle of the texts.
     found = docs.join(runs.hint("shuffle_hash"), "key").select("doc_id", "key", "text", "runs")
-    blocks = found.mapInArrow(fingerprints(width, shards), R.BLOCK)
+    blocks = found.mapInArrow(fingerprints(width, gram, shards), R.BLOCK)
     hits = blocks.repartitionById(shards, F.col("shard")).mapInArrow(groups(shards), R.BLOCK)
     spans = hits.groupBy("key").agg(F.collect_list("blob").alias("spans"))
     both = docs.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "key", "text", "spans")
