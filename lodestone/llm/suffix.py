@@ -37,12 +37,14 @@ from lodestone.llm.substring import SPAN, spans_from
 U = np.uint64
 NONE = 255
 LAST = (1 << 63) - 1
+#: A recursion ends at strings of so many names.
+SHORT = 1 << 18
 
 
 class Spool:
     """Arrays that are files when they are large; all vanish when the block ends."""
 
-    memory = 256 << 20
+    memory = 128 << 20
 
     def __enter__(self) -> Spool:
         self.folder: tempfile.TemporaryDirectory | None = None
@@ -91,7 +93,7 @@ def types(t: np.ndarray) -> np.ndarray:
     n = len(t)
     differs = np.flatnonzero(t[:-1] != t[1:])
     out = np.ones(n, bool)
-    nxt = differs[np.searchsorted(differs, np.arange(n - 1))]
+    nxt = np.repeat(differs, np.diff(differs, prepend=-1))
     out[:-1] = t[nxt] < t[nxt + 1]
     return out
 
@@ -99,8 +101,8 @@ def types(t: np.ndarray) -> np.ndarray:
 def run_lengths(t: np.ndarray) -> np.ndarray:
     """How often each place's symbol stands there in succession, up to NONE - 1."""
     change = np.append(np.flatnonzero(t[:-1] != t[1:]), len(t) - 1)
-    at = np.arange(len(t))
-    return np.minimum(change[np.searchsorted(change, at)] - at + 1, NONE - 1).astype(np.uint8)
+    end = np.repeat(change, np.diff(change, prepend=-1))
+    return np.minimum(end - np.arange(len(t)) + 1, NONE - 1).astype(np.uint8)
 
 
 def symbol_runs(t: np.ndarray, places: np.ndarray, sigma: int, down: bool) -> list[tuple[int, int]]:
@@ -326,25 +328,48 @@ def sort_stars(t: np.ndarray, sigma: int, spool: Spool) -> tuple[np.ndarray, np.
     named, count = names(t, is_s, stars, sigma)
     if count == len(stars):
         return is_s, stars[np.argsort(named)]
+    if len(named) <= SHORT:
+        return is_s, stars[doubled(named)]
     below, order = sort_stars(named, count, spool)
     sorted_, _ = induce(named, count, below, order, None, spool, None)
     return is_s, stars[sorted_]
 
 
 def compare(t: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefix of suffixes a and b, up to cap."""
-    out = np.zeros(len(a), np.uint8)
+    """Common prefix of suffixes a and b of 16-bit symbols, up to cap; four at a time."""
+    padded = np.concatenate((t.astype(np.uint16), np.zeros(cap + 4, np.uint16)))
+    four = np.ndarray(len(t) + cap, "<u8", padded, strides=(2,))
+    out = np.zeros(len(a), np.int64)
     live = np.arange(len(a))
-    for k in range(cap):
-        x, y = a[live] + k, b[live] + k
-        ok = np.maximum(x, y) < len(t)
-        live, x, y = live[ok], x[ok], y[ok]
-        same = t[x] == t[y]
+    for k in range(0, cap, 4):
+        differ = four[a[live] + k] ^ four[b[live] + k]
+        same = differ == 0
+        end = live[~same]
+        # the lowest differing 16 bits are the first differing symbol
+        d = differ[~same]
+        low = d & (~d + U(1))
+        out[end] = k + (low > U(0xFFFF)).astype(np.int64) + (low > U(0xFFFFFFFF)) + (low > U(0xFFFFFFFFFFFF))
         live = live[same]
         if not len(live):
             break
-        out[live] += 1
-    return out
+    out[live] = cap
+    return np.minimum(out, cap).astype(np.uint8)
+
+
+def doubled(t: np.ndarray) -> np.ndarray:
+    """Suffixes of a short string in order, by ranks of prefixes of doubling length."""
+    rank, step = t.astype(np.int64), 1
+    while True:
+        following = np.zeros(len(rank), np.int64)
+        following[:-step] = rank[step:] + 1
+        key = rank * (int(rank.max()) + 2) + following
+        order = np.argsort(key, kind="stable")
+        k = key[order]
+        rank = np.empty(len(key), np.int64)
+        rank[order] = np.cumsum(np.concatenate(([0], (k[1:] != k[:-1]).astype(np.int64))))
+        if rank[order[-1]] == len(rank) - 1:
+            return order
+        step *= 2
 
 
 def suffix_array(t: np.ndarray, sigma: int, cap: int, spool: Spool) -> tuple[np.ndarray, np.ndarray]:
@@ -359,7 +384,7 @@ def suffix_array(t: np.ndarray, sigma: int, cap: int, spool: Spool) -> tuple[np.
     return induce(t.astype(np.int64), sigma, is_s, seeds, seed_common, spool, cap)
 
 
-def pieces(width: int, shards: int) -> Callable:
+def pieces(width: int, gram: int, shards: int) -> Callable:
     """Map stage: the byte strings of runs of windows that may repeat."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +425,7 @@ def pieces(width: int, shards: int) -> Callable:
                 number[i] = np.arange(n)
                 j = places[p:e]
                 blob = K.pack(
-                    data=data[K.ranges(at[i], length[i])], length=length[i].astype(np.int32), h1=h1[i], h2=h2[i],
+                    data=data[K.ranges(at[i], length[i])], length=length[i].astype(np.int32),
                     string=number[string[j]].astype(np.int32), key=key[j], doc=doc[j], start=start[j].astype(np.int32),
                 )
                 out.append((int(shard[i[0]]), R.PROBES, 0, blob))
@@ -427,7 +452,8 @@ def pieces(width: int, shards: int) -> Callable:
                 h1 = K.mix(K.POLY_A.between(p1, x, y) + length.astype(U))
                 h2 = K.mix(K.POLY_B.between(p2, x, y) + length.astype(U))
                 take = part[K.ranges(x, length)]
-                held.append((take, length, h1, h2, r["anchor"], np.repeat(keys[a:b], rows), np.repeat(docs[a:b], rows), start))
+                anchor = K.least_between(K.POLY_A.windows(value, gram), x, y - gram + 1)
+                held.append((take, length, h1, h2, anchor, np.repeat(keys[a:b], rows), np.repeat(docs[a:b], rows), start))
                 size += len(take)
                 if size >= R.FLUSH:
                     yield from flush()
@@ -460,7 +486,28 @@ def marked(strings: np.ndarray, length: np.ndarray, least: np.ndarray, width: in
     return of[place], place - begin[of[place]]
 
 
-def groups(width: int, shards: int) -> Callable:
+#: Bytes of strings whose suffixes are sorted at once, where anchors allow it.
+SORTED = 2 << 20
+
+
+def marked_by_anchor(data, length, least, anchor, width) -> tuple[np.ndarray, np.ndarray]:
+    """marked(), by parts that have no anchor in common."""
+    parts = max(1, -(-int(length.sum()) // SORTED))
+    at = np.cumsum(length) - length
+    of = K.mix(anchor ^ U(0x243F6A88)) % U(parts)
+    owners, offsets = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for p in range(parts):
+        i = np.flatnonzero(of == U(p))
+        if len(i):
+            owner, offset = marked(data[K.ranges(at[i], length[i])], length[i], least[i], width)
+            owners.append(i[owner])
+            offsets.append(offset)
+    owner, offset = np.concatenate(owners), np.concatenate(offsets)
+    order = np.lexsort((offset, owner))
+    return owner[order], offset[order]
+
+
+def groups(width: int, gram: int, shards: int) -> Callable:
     """Reduce stage: sorts the suffixes of a shard's strings and marks repeated windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -474,10 +521,18 @@ def groups(width: int, shards: int) -> Callable:
             return
         before = np.concatenate(([0], np.cumsum([len(x["length"]) for x in held])))[:-1]
         string = np.concatenate([x["string"].astype(np.int64) + o for x, o in zip(held, before, strict=True)])
-        data, length, h1, h2, key, doc, start = (np.concatenate([x[k] for x in held]) for k in ("data", "length", "h1", "h2", "key", "doc", "start"))
+        data, length, key, doc, start = (np.concatenate([x[k] for x in held]) for k in ("data", "length", "key", "doc", "start"))
         del held
         length = length.astype(np.int64)
-        at = np.concatenate(([0], np.cumsum(length)))[:-1]
+        at = np.cumsum(length) - length
+        h1, h2, anchor = (np.empty(len(length), U) for _ in range(3))
+        for a, b in K.chunks(np.append(at, len(data))):
+            value = K.BYTE_VALUES[data[at[a] : at[b - 1] + length[b - 1]]]
+            x = at[a:b] - at[a]
+            y = x + length[a:b]
+            h1[a:b] = K.mix(K.POLY_A.between(K.POLY_A.prefix(value), x, y) + length[a:b].astype(U))
+            h2[a:b] = K.mix(K.POLY_B.between(K.POLY_B.prefix(value), x, y) + length[a:b].astype(U))
+            anchor[a:b] = K.least_between(K.POLY_A.windows(value, gram), x, y - gram + 1)
         order = np.lexsort((h2, h1))
         a, b = h1[order], h2[order]
         new = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
@@ -492,7 +547,7 @@ def groups(width: int, shards: int) -> Callable:
             spans = np.empty(len(whole), SPAN)
             spans["start"], spans["count"] = start[whole], length[string[whole]] - width + 1
             yield R.per_row(key[whole], spans, shards)
-        owner, offset = marked(data[K.ranges(at[rep], length[rep])], length[rep], least, width)
+        owner, offset = marked_by_anchor(data[K.ranges(at[rep], length[rep])], length[rep], least, anchor[rep], width)
         spans, of = spans_from(offset, owner)
         cut = np.searchsorted(of, np.arange(len(rep) + 1))
         rest = np.flatnonzero(doc == least[mine])
@@ -530,14 +585,14 @@ def finish(width: int) -> Callable:
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 16) -> DataFrame:
+def remove_repeats(docs: DataFrame, width: int = 50, gram: int = 20) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept binary, kept_sha256)."""
     docs = R.keyed(docs)
-    runs = R.repeated_runs(docs, width, gram, False, mb_per_shard=16)
-    shards = parts_for(docs, 16)
+    runs = R.repeated_runs(docs, width, gram, False, mb_per_shard=32, bits=24)
+    shards = parts_for(docs, 8)
     found = docs.join(runs.hint("shuffle_hash"), "key").select("doc_id", "key", "text", "runs")
-    blocks = found.mapInArrow(pieces(width, shards), R.BLOCK)
-    hits = blocks.repartitionById(shards, F.col("shard")).mapInArrow(groups(width, shards), R.BLOCK)
+    blocks = found.mapInArrow(pieces(width, gram, shards), R.BLOCK)
+    hits = blocks.repartitionById(shards, F.col("shard")).mapInArrow(groups(width, gram, shards), R.BLOCK)
     spans = hits.groupBy("key").agg(F.collect_list("blob").alias("spans"))
     both = docs.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "text", "spans")
     return both.mapInArrow(finish(width), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary, kept_sha256 string")
