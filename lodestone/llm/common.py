@@ -17,9 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """Size of the files or tables below df; only partition counts depend on it."""
+    """Size of the files or tables below df; only partition counts depend on it. Where a
+    source doesn't know its size, each of its partitions stands for 16 MB."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    if max(sizes, default=0) >= 1 << 60:
+        return df.rdd.getNumPartitions() * 16_000_000
+    return sum(sizes)
 
 
 def parts_for(df: DataFrame, mb: float, least: int = 8) -> int:

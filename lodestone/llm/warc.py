@@ -153,10 +153,10 @@ def reconstruct(archive: Archive) -> DataFrame:
 
 
 def export(archive: Archive, path: str) -> None:
-    """Plain .warc files, one per partition, each a run of whole records."""
-    reconstruct(archive).select(F.decode("record", "ISO-8859-1").alias("value")).write.option("lineSep", "").option(
-        "encoding", "ISO-8859-1"
-    ).text(path)
+    """Plain .warc files, one per partition, each a run of whole records. The text writer
+    ends each row with a line feed, so every record leaves its last one to it."""
+    record = F.expr("substring(record, 1, octet_length(record) - 1)").cast("string")
+    reconstruct(archive).select(record.alias("value")).write.text(path, lineSep="\n")
 
 
 def parse(record: bytes) -> tuple[dict[str, str], bytes]:
