@@ -1,7 +1,7 @@
 """Language-model scoring by prediction by partial matching, with a word baseline.
 
-`ppm_fit` counts the byte n-grams of all training texts in a distributed pass and makes a
-trie of contexts up to `order` bytes of them. A symbol's probability comes from the
+A trie of contexts up to `order` bytes is made of the byte n-grams of all training texts.
+A symbol's probability comes from the
 longest context known: (2c - 1) / 2n if the context was followed by it c of n times, by
 d kinds of symbol in all; else an escape d / 2n leads to the next shorter context, in
 which the symbols of the longer one are excluded. After the empty context all symbols
@@ -12,8 +12,12 @@ depends on the context alone, and each node keeps its parent's totals without it
 `base_fit` and `score` also give the log10 probability by add-one word unigrams. Word counts meet
 their postings in shards, so no vocabulary is collected or broadcast.
 
-The trie is broadcast. It holds at most `max_nodes` n-grams of the longest kind: if there
-are more, those below the least count that fits are left out.
+No n-gram is left out. The trie is dealt by the hash of a context's last NEAR bytes, so
+that each shard knows all contexts of that length and more that end so; what is shorter,
+at most 2^(8 NEAR) n-grams whatever the input, is broadcast. Texts are written in blocks;
+each block asks every shard once for its distinct n-grams, and the shards' answers meet the
+block again. `ppm_fit` makes the same trie in one piece, for models that fit one machine;
+there alone a caller may cut it to `max_nodes` n-grams of the longest kind.
 
 A-Z are lower-cased. A null text is empty and has just its end. A null doc_id is an
 ordinary row; equal rows have equal scores; without training texts all bytes are equally
@@ -27,6 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,6 +44,9 @@ MARK = 255  # start and end: no UTF-8 text has this byte
 END = 0x454E44  # hash of the end token
 FIXED = 2.0**36
 TALLY = 64
+NEAR = 3  # last bytes of a context by which the trie is dealt
+TEXTS = "block long, blob binary"
+SCORED = "doc_id long, key long, score double"
 GRAMS_PA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("blob", pa.binary())])
 
 
@@ -84,25 +92,35 @@ def count_grams(order: int, shards: int) -> Callable:
     return run
 
 
-def sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A shard's n-grams with their counts, and how many have each small count."""
-    v, n = np.zeros(0, U), np.zeros(0, np.int64)
-    vs, ns, waiting = [], [], 0
+class Sums:
+    """Counts of n-grams that come in parts."""
+
+    def __init__(self):
+        self.v, self.n = np.zeros(0, U), np.zeros(0, np.int64)
+        self.vs, self.ns, self.waiting = [], [], 0
 
-    def merged():
-        u, at = np.unique(np.concatenate([v, *vs]), return_inverse=True)
-        return u, np.bincount(at, np.concatenate([n, *ns]), len(u)).astype(np.int64)
+    def add(self, v: np.ndarray, n: np.ndarray) -> None:
+        self.vs.append(v)
+        self.ns.append(n.astype(np.int64))
+        self.waiting += len(v)
+        if self.waiting > max(1 << 20, len(self.v)):
+            self.merged()
 
+    def merged(self) -> tuple[np.ndarray, np.ndarray]:
+        u, at = np.unique(np.concatenate([self.v, *self.vs]), return_inverse=True)
+        self.n = np.bincount(at, np.concatenate([self.n, *self.ns]), len(u)).astype(np.int64)
+        self.v, self.vs, self.ns, self.waiting = u, [], [], 0
+        return self.v, self.n
+
+
+def sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A shard's n-grams with their counts, and how many have each small count."""
+    sums = Sums()
     for batch in batches:
         for blob in batch.column("blob"):
             x = K.unpack(blob.as_py())
-            vs.append(x["v"])
-            ns.append(x["n"].astype(np.int64))
-            waiting += len(x["v"])
-        if waiting > max(1 << 20, len(v)):
-            v, n = merged()
-            vs, ns, waiting = [], [], 0
-    v, n = merged()
+            sums.add(x["v"], x["n"])
+    v, n = sums.merged()
     if len(v):
         tally = np.bincount(np.minimum(n, TALLY), minlength=TALLY + 1)
         for i in range(0, len(v), 1 << 18):
@@ -131,9 +149,9 @@ def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 class Trie:
     """Contexts up to `order` bytes, as sorted arrays by order, and a hash table of the
-    longest n-grams."""
+    longest n-grams. A shard's trie has the n-grams of contexts shorter than NEAR from `low`."""
 
-    def __init__(self, order: int, v: np.ndarray, n: np.ndarray):
+    def __init__(self, order: int, v: np.ndarray, n: np.ndarray, low: tuple[np.ndarray, np.ndarray] | None = None):
         self.order = order
         by_rank = np.argsort(v)
         v, n = v[by_rank], n[by_rank].astype(np.float64)
@@ -141,7 +159,9 @@ class Trie:
         self.below_total, self.below_escape = [None] * (order + 1), [None] * (order + 1)
         counts: list = [None] * (order + 1)
         for k in range(order, -1, -1):
-            if k < order:
+            if low is not None and k == min(order, NEAR) - 1:
+                v, n = low[0], low[1].astype(np.float64)
+            elif k < order:
                 v, at = np.unique(v & U((1 << 8 * (k + 1)) - 1), return_inverse=True)
                 n = np.bincount(at, n, len(v))
             self.gram[k], counts[k] = v, n
@@ -245,20 +265,20 @@ class Trie:
         return out
 
 
-def ppm_fit(docs: DataFrame, order: int = 5, max_nodes: int = 4_000_000) -> Trie:
-    """From docs (text): counts of all n-grams of all rows."""
+def ppm_fit(docs: DataFrame, order: int = 5, max_nodes: int | None = None) -> Trie:
+    """From docs (text): counts of all n-grams of all rows, in one piece at the driver."""
     shards = parts_for(docs, 64)
     blocks = docs.select("text").mapInArrow(count_grams(order, shards), R.BLOCK)
     sums = saved(blocks.repartitionById(shards, F.col("shard")).mapInArrow(sum_counts, R.BLOCK), "ppm-counts")
     tally = sum((K.unpack(bytes(r.blob))["tally"] for r in sums.mapInArrow(tallies, R.BLOCK).toLocalIterator()), np.zeros(TALLY + 1, np.int64))
     count = 1
     above = np.cumsum(tally[::-1])[::-1]
-    while count < TALLY and above[count] > max_nodes:
+    while max_nodes is not None and count < TALLY and above[count] > max_nodes:
         count += 1
     parts = [K.unpack(bytes(r.blob)) for r in sums.mapInArrow(at_least(count), R.BLOCK).toLocalIterator()]
     v = np.concatenate([np.zeros(0, U), *[x["v"] for x in parts]])
     n = np.concatenate([np.zeros(0, np.int64), *[x["n"] for x in parts]])
-    if len(v) > max_nodes:  # counts above the tally: the most frequent, ties by number
+    if max_nodes is not None and len(v) > max_nodes:  # counts above the tally: the most frequent, ties by number
         keep = np.lexsort((v, -n))[:max_nodes]
         v, n = v[keep], n[keep]
     return Trie(order, v, n)
@@ -280,7 +300,139 @@ def ppm_score(docs: DataFrame, trie: Trie) -> DataFrame:
                 scores[a:b] = np.add.reduceat(trie.log10(v), np.cumsum(size) - size)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("key"), pa.array(scores)], ["doc_id", "key", "score"])
 
-    return docs.mapInArrow(run, "doc_id long, key long, score double")
+    return docs.mapInArrow(run, SCORED)
+
+
+def text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Map stage: whole texts of some megabytes in one block with their rows."""
+    first, number = TaskContext.get().partitionId() << 32, 0
+    held, size = [], 0
+
+    def flush():
+        data, sizes, key, doc, null, learn = (np.concatenate(x) for x in zip(*held, strict=True))
+        blob = K.pack(data=data, size=sizes, key=key, doc=doc, null=null, learn=learn)
+        return pa.RecordBatch.from_arrays([pa.array([first + number]), pa.array([blob], pa.binary())], ["block", "blob"])
+
+    for batch in batches:
+        data, offsets = K.text_bytes(batch.column("text"))
+        doc = batch.column("doc_id").cast(pa.int64())
+        null = doc.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
+        doc, key = doc.fill_null(0).to_numpy(), batch.column("key").to_numpy()
+        learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(np.uint8)
+        for a, b in K.chunks(offsets):
+            held.append((K.LOWER[data[offsets[a] : offsets[b]]], np.diff(offsets[a : b + 1]), key[a:b], doc[a:b], null[a:b], learn[a:b]))
+            size += int(offsets[b] - offsets[a]) + b - a
+            if size >= R.FLUSH // 2:
+                yield flush()
+                held, size, number = [], 0, number + 1
+    if held:
+        yield flush()
+
+
+def block_grams(x: dict[str, np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's n-grams, one for each symbol, and the number of each row's."""
+    text, begin = padded(x["data"], np.append(0, np.cumsum(x["size"])), order)
+    return grams(text, order)[K.ranges(begin, x["size"] + 1)], x["size"] + 1
+
+
+def home(v: np.ndarray, order: int, shards: int) -> np.ndarray:
+    """The shard that knows an n-gram's contexts."""
+    return R.shard_of((v >> U(8)) & U((1 << 8 * min(order, NEAR)) - 1), shards)
+
+
+def count_low(order: int, shards: int) -> Callable:
+    """Map stage: counts of the training texts' n-grams of contexts shorter than NEAR."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums()
+        for batch in batches:
+            for blob in batch.column("blob"):
+                x = K.unpack(blob.as_py())
+                v, size = block_grams(x, order)
+                v = v[np.repeat(x["learn"] > 0, size)] & U((1 << 8 * min(order, NEAR)) - 1)
+                u, n = np.unique(v.astype(np.uint32), return_counts=True)
+                sums.add(u.astype(U), n)
+        v, n = sums.merged()
+        if len(v):
+            yield R.to_batch(R.emit(R.shard_of(v, shards), R.PROBES, lambda i: K.pack(v=v[i], n=n[i]), shards))
+
+    return run
+
+
+def ask(order: int, shards: int) -> Callable:
+    """Map stage: each block's distinct n-grams by shard, with their training counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob"), strict=True):
+                x = K.unpack(blob.as_py())
+                v, size = block_grams(x, order)
+                u = np.unique(v)
+                learned, times = np.unique(v[np.repeat(x["learn"] > 0, size)], return_counts=True)
+                n = np.zeros(len(u), np.uint32)
+                n[np.searchsorted(u, learned)] = times
+                rows = R.emit(home(u, order, shards), R.PROBES, lambda i, u=u, n=n: K.pack(v=u[i], n=n[i]), shards)
+                yield R.to_batch([(s, kind, block, packed) for s, kind, _, packed in rows])
+
+    return run
+
+
+def answer(order: int, low) -> Callable:
+    """Reduce stage: a shard's trie of all its n-grams, and what each block asked of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, sums = [], Sums()
+        for batch in batches:
+            for shard, block, blob in zip(batch.column("shard").to_pylist(), batch.column("key").to_pylist(), batch.column("blob"), strict=True):
+                asked.append((shard, block, blob.as_py()))
+                x = K.unpack(asked[-1][2])
+                sums.add(x["v"][x["n"] > 0], x["n"][x["n"] > 0])
+        if not asked:
+            return
+        trie = Trie(order, *sums.merged(), low.value)
+        del sums
+        for i in range(0, len(asked), 16):
+            yield R.to_batch([(s, R.DIRECT, block, K.pack(value=trie.log10(K.unpack(blob)["v"]).astype(np.float32))) for s, block, blob in asked[i : i + 16]])
+
+    return run
+
+
+def settle(order: int, shards: int) -> Callable:
+    """A block's rows with their scores, from its texts and all shards' answers."""
+
+    def run(block: pa.Table, answers: pa.Table) -> pa.Table:
+        x = K.unpack(block.column("blob")[0].as_py())
+        v, size = block_grams(x, order)
+        u, back = np.unique(v, return_inverse=True)
+        shard = home(u, order, shards)
+        members = np.argsort(shard, kind="stable")
+        first, n = K.by_group(shard[members])
+        place = {int(shard[members[a]]): members[a : a + m] for a, m in zip(first, n, strict=True)}
+        if len(place) != answers.num_rows:
+            raise ValueError(f"{answers.num_rows} answers of {len(place)} shards")
+        value = np.zeros(len(u))
+        for s, blob in zip(answers.column("shard").to_pylist(), answers.column("blob"), strict=True):
+            value[place[s]] = K.unpack(blob.as_py())["value"]
+        scores = np.add.reduceat(value[back], np.cumsum(size) - size)
+        return pa.table({"doc_id": pa.array(x["doc"], mask=x["null"] > 0), "key": pa.array(x["key"]), "score": pa.array(scores)})
+
+    return run
+
+
+def ppm(docs: DataFrame, order: int = 5) -> DataFrame:
+    """(doc_id, key, score) for each keyed row: log10 probability of its text by the n-grams
+    of all rows whose `learn` holds."""
+    shards = parts_for(docs, 32)
+    texts = saved(docs.select("doc_id", "key", "text", "learn").mapInArrow(text_blocks, TEXTS), "ppm-texts")
+    parts = texts.mapInArrow(count_low(order, 8), R.BLOCK).repartitionById(8, F.col("shard")).mapInArrow(sum_counts, R.BLOCK)
+    sums = Sums()
+    for r in parts.select("blob").collect():
+        x = K.unpack(bytes(r.blob))
+        sums.add(x["v"], x["n"])
+    low = docs.sparkSession.sparkContext.broadcast(sums.merged())
+    asked = texts.mapInArrow(ask(order, shards), R.BLOCK).repartitionById(shards, F.col("shard"))
+    answers = asked.mapInArrow(answer(order, low), R.BLOCK).select("shard", F.col("key").alias("block"), "blob")
+    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(settle(order, shards), SCORED)
 
 
 def postings(shards: int) -> Callable:
@@ -362,11 +514,10 @@ def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x["key"][some]), pa.array(part), pa.array(known), pa.array(total[some].astype(np.int64)), pa.array(ends), zero, zero], names)
 
 
-def score(docs: DataFrame, learn, order: int = 5, max_nodes: int = 4_000_000) -> DataFrame:
+def score(docs: DataFrame, learn, order: int = 5) -> DataFrame:
     """(doc_id, key, n_tokens, n_known, train_tokens, base_score, score) for every row of
     docs (doc_id, text), learning from those where the column `learn` holds."""
     flagged = R.keyed(docs).withColumn("learn", F.coalesce(learn, F.lit(False)))
-    keyed = R.keyed(docs)
     shards = parts_for(docs, 64)
     blocks = flagged.select("key", "text", "learn").mapInArrow(postings(shards), R.BLOCK)
     parts = saved(blocks.repartitionById(shards, F.col("shard")).mapInArrow(shares, BASE), "base-shares")
@@ -378,7 +529,7 @@ def score(docs: DataFrame, learn, order: int = 5, max_nodes: int = 4_000_000) ->
         .agg(*[F.sum(c).alias(c) for c in ("part", "known", "tokens", "rows")])
         .select("key", *[F.expr(f"{c} div rows").alias(c) for c in ("part", "known", "tokens")])
     )
-    scored = ppm_score(keyed, ppm_fit(flagged.where("learn"), order, max_nodes))
+    scored = ppm(flagged, order)
     per = math.log10(n + v + 1)
     return scored.join(base, "key").select(
         "doc_id",

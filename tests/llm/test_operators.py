@@ -205,6 +205,20 @@ def test_scoring(spark, rows):
     assert scoring.score(table(spark, rows), F.lit(False)).first().n_known == 0
 
 
+def test_scoring_keeps_all_grams(spark):
+    """More distinct n-grams than 4 million: each still counts."""
+    from pyspark.sql import functions as F
+
+    letters = np.random.default_rng(7).integers(97, 123, (140, 32_000)).astype(np.uint8)
+    rows = [(i, bytes(t).decode()) for i, t in enumerate(letters)]
+    counts = [scoring.grams(scoring.padded(t, np.array([0, len(t)]), 5)[0], 5) for t in letters]
+    v, n = np.unique(np.concatenate(counts), return_counts=True)
+    assert len(v) > 4_000_000
+    trie = scoring.Trie(5, v, n)
+    got = {r.doc_id: r.score for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string"), F.lit(True)).collect()}
+    assert got == pytest.approx({i: float(trie.log10(c).sum()) for i, c in enumerate(counts)}, rel=1e-5)
+
+
 def test_pruned_trie(spark, rows):
     trie = scoring.ppm_fit(table(spark, rows), 3, max_nodes=100)
     assert len(trie.slots[trie.slots > 0]) <= 100
