@@ -79,6 +79,7 @@ class Items:
         self.maybe = np.zeros(1 << 20, bool)
         self.maybe[(self.known & U((1 << 20) - 1)).astype(np.int64)] = True
         self.short = sorted(n for n in lengths if n < width)
+        self.long = {i for n, members in lengths.items() if n >= width for i in members}
         self.index = {}
         for n, members in lengths.items():
             prints = np.concatenate([fingerprints(self.shingles[i], np.zeros(1, np.int64), len(self.shingles[i])) for i in members])
@@ -118,7 +119,7 @@ class Items:
             for i, places in found.items():
                 # an overlap below this bound can't reach the similarity
                 m = len(self.shingles[i])
-                if m > 1 and len(places) >= sim * m:
+                if i in self.long and len(places) >= sim * m:
                     by_length[m].extend(places)
             for m, places in by_length.items():
                 self._windows(sh, m, np.unique(places), sim, best)

@@ -103,6 +103,17 @@ def test_decontamination(spark, rows):
     assert decontaminate.matches(df, it.where("item_id < 0")).count() == 0
 
 
+def test_decontamination_of_items_of_one_shingle(spark):
+    """Items of exactly `width` words, and of one word less and more, are found."""
+    items = [(i, " ".join(VOCABULARY[i : i + k])) for i, k in ((0, 4), (4, 5), (9, 6))]
+    docs = [(0, f"x y {items[1][1].upper()} z"), (1, items[1][1]), (2, " ".join(VOCABULARY[:15])), (3, "x " * 9), (4, f"{VOCABULARY[4]} x y z {VOCABULARY[8]}")]
+    df, it = table(spark, docs), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r.doc_id, r.item_id): (r.start, r.n_words, r.similarity) for r in decontaminate.matches(df, it).collect()}
+    assert {k: v[2] for k, v in got.items()} == decontaminate.brute(docs, items, 0.75)
+    assert got[0, 4] == (2, 5, 1.0) and got[1, 4] == (0, 5, 1.0) and got[2, 4] == (4, 5, 1.0)
+    assert {r.doc_id for r in decontaminate.clean(df, it).collect()} == {3, 4}
+
+
 def test_archive(spark):
     rows = [(1, "http://a", "<p>é</p>"), (2, "http://b", "<p>é</p>"), (3, None, None), (4, "x\ny", ""), (None, "n", "z"), (7, "same", "q"), (7, "same", "q")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
