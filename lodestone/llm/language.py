@@ -11,8 +11,9 @@ Whole texts are parsed, in stretches of at most STRETCH symbols of which each be
 phrase, so that numpy can step through thousands of stretches at once.
 
 The sample of a language is at most `sample_bytes` symbols, up to PER_DOC from each of the
-documents of least hash; at most `max_languages` languages, the most frequent, are
-learned. A null text or one without a letter is `und` with score 0, as is everything when
+documents of least hash. Every language is learned: automata are broadcast, compressed, in
+slices of SLICE languages, of which a task holds one at a time, and the least cost over all
+slices wins. A null text or one without a letter is `und` with score 0, as is everything when
 no language is learned. Null languages aren't learned; the empty name is a name.
 Repeated rows are predicted alike. An empty table gives no rows.
 """
@@ -20,6 +21,7 @@ Repeated rows are predicted alike. An empty table gives no rows.
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,7 +32,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import kernels as K
 from lodestone.llm import repeats as R
 
-STRETCH, PER_DOC = 512, 1024
+STRETCH, PER_DOC, SLICE = 512, 1024, 8
 FOLD = np.zeros(256, np.uint8)
 FOLD[97:123] = FOLD[65:91] = np.arange(1, 27)
 FOLD[128:] = np.arange(27, 155)
@@ -67,7 +69,7 @@ def automaton(symbols: list[int]) -> list[dict[int, int]]:
 
 
 class Model:
-    """All languages' automata in one table.
+    """Some languages' automata in one table.
 
     table[state, symbol] is four times the next state plus the phrases that end there: none
     while the phrase goes on, one where a new phrase begins, two where it begins with a
@@ -104,6 +106,12 @@ class Model:
             base += n
         self.table = np.concatenate(tables).reshape(-1) if tables else np.zeros(0, np.int32)
 
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"table": K.pack(table=self.table)}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state, table=K.unpack(state["table"])["table"])
+
     def phrases(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Phrases of each row in each language."""
         size = np.diff(offsets)
@@ -135,24 +143,16 @@ class Model:
         np.add.at(out, row, count)
         return out
 
-    def predict(self, phrases: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Language and score of each row: the runner-up's share of both costs."""
-        cost = phrases * np.array(self.bits)[None, :]
-        best = cost.argmin(1)
-        if len(self.names) == 1:
-            return best, np.ones(len(cost))
-        two = np.partition(cost, 1, axis=1)[:, :2]
-        return best, two[:, 1] / np.maximum(two.sum(1), 1e-9)
+    def costs(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Bits of each row in each language."""
+        return self.phrases(data, offsets) * np.array(self.bits)[None, :]
 
 
-def fit(docs: DataFrame, sample_bytes: int = 16_384, max_languages: int = 64) -> Model:
-    """From docs (doc_id, text, lang)."""
+def fit(docs: DataFrame, sample_bytes: int = 16_384) -> dict[str, bytes]:
+    """From docs (doc_id, text, lang): each language's sample."""
     rows = docs.where("text is not null and lang is not null")
-    names = [r.lang for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()]
-    if not names:
-        return Model({})
     each = 4 * -(-sample_bytes // PER_DOC)
-    keyed = rows.where(F.col("lang").isin(names)).select("lang", F.xxhash64(F.lit("language"), "doc_id", "text").alias("h"))
+    keyed = rows.select("lang", F.xxhash64(F.lit("language"), "doc_id", "text").alias("h"))
     first = Window.partitionBy("lang").orderBy("h")
     chosen = keyed.withColumn("i", F.row_number().over(first)).where(F.col("i") <= each).select("lang", "h").distinct()
     texts = (
@@ -163,23 +163,38 @@ def fit(docs: DataFrame, sample_bytes: int = 16_384, max_languages: int = 64) ->
         .orderBy("lang", "h")
         .collect()
     )
-    samples = dict.fromkeys(names, b"")
+    samples: dict[str, bytes] = {}
     for r in texts:
-        samples[r.lang] = (samples[r.lang] + b"\n" + r.text.encode())[:sample_bytes]
-    return Model({k: v for k, v in samples.items() if v.strip()})
+        samples[r.lang] = (samples.get(r.lang, b"") + b"\n" + r.text.encode())[:sample_bytes]
+    return {k: v for k, v in samples.items() if v.strip()}
+
 
+def tag(shared: list) -> Callable:
+    """Languages of a batch's rows by the slices' packed models, in order of names."""
 
-def tag(model: Model) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        only = pickle.loads(shared[0].value) if len(shared) == 1 else None
         for batch in batches:
             data, offsets = K.text_bytes(batch.column("text"))
-            letters = batch.column("letters").to_numpy(zero_copy_only=False)
+            letters = batch.column("letters").to_numpy(zero_copy_only=False).astype(bool)
             names, scores = np.full(batch.num_rows, "und", object), np.zeros(batch.num_rows)
-            for a, b in K.chunks(offsets, 4 * K.CHUNK) if model.names else ():
-                best, score = model.predict(model.phrases(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
-                some = letters[a:b].astype(bool)
-                names[a:b][some] = np.array(model.names, object)[best[some]]
-                scores[a:b][some] = score[some]
+            best, least = np.full(batch.num_rows, "und", object), np.full((batch.num_rows, 2), np.inf)
+            for part in shared:
+                model = only or pickle.loads(part.value)
+                for a, b in K.chunks(offsets, 4 * K.CHUNK):
+                    cost = model.costs(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                    at = cost.argmin(1)
+                    won = cost[np.arange(b - a), at] < least[a:b, 0]
+                    best[a:b][won] = np.array(model.names, object)[at[won]]
+                    least[a:b] = np.sort(np.concatenate((least[a:b], cost), 1), 1)[:, :2]
+                del model
+            if shared:
+                names[letters] = best[letters]
+                # the runner-up's share of both costs
+                one, two = least[letters].T
+                scores[letters] = 1.0
+                some = np.isfinite(two)
+                scores[np.flatnonzero(letters)[some]] = two[some] / np.maximum(one[some] + two[some], 1e-9)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("key"), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "key", "lang_pred", "score"]
             )
@@ -187,15 +202,13 @@ def tag(model: Model) -> Callable:
     return run
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
+def predict(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
     """(doc_id, key, lang_pred, score) for every row."""
     letters = F.coalesce(F.regexp_like("text", F.lit(r"\p{L}")), F.lit(False))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        return tag(shared.value)(batches)
-
-    return R.keyed(docs).withColumn("letters", letters).mapInArrow(run, "doc_id long, key long, lang_pred string, score double")
+    context, names = docs.sparkSession.sparkContext, sorted(samples)
+    slices = [{k: samples[k] for k in names[i : i + SLICE]} for i in range(0, len(names), SLICE)]
+    shared = [context.broadcast(pickle.dumps(Model(x))) for x in slices]
+    return R.keyed(docs).withColumn("letters", letters).mapInArrow(tag(shared), "doc_id long, key long, lang_pred string, score double")
 
 
 def brute(text: bytes, sample: bytes) -> int:

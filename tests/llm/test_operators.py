@@ -175,6 +175,22 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict(docs, language.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_many_languages(spark):
+    """Every language is learned, and slices of languages agree with one model of all."""
+    rng = random.Random(8)
+    own = {f"l{i:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(5)) for _ in range(4)] for i in range(70)}
+    text = lambda k: " ".join(rng.choice(own[k]) for _ in range(20))
+    rows = [(i, text(k), k) for i, k in enumerate([*own, *list(own)[:64]])] + [(1000 + i, text(k), None) for i, k in enumerate(own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    samples = language.fit(docs)
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(docs, samples).collect()}
+    assert [got[1000 + i][0] for i in range(70)] == sorted(own)
+    whole, texts = language.Model(samples), [t.encode() for _, t, _ in rows]
+    cost = whole.costs(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts]))
+    two = np.sort(cost, 1)[:, :2]
+    assert [got[d] for d, _, _ in rows] == [(whole.names[i], s) for i, s in zip(cost.argmin(1), two[:, 1] / two.sum(1), strict=True)]
+
+
 def test_ppm(spark):
     rng = np.random.default_rng(0)
     train = [bytes(rng.choice(list(b"abcD \xc3"), rng.integers(0, 40)).tolist()) for _ in range(8)]
