@@ -10,8 +10,9 @@ signs counts byte by byte as one separator symbol.
 Whole texts are parsed, in stretches of at most STRETCH symbols of which each begins a new
 phrase, so that numpy can step through thousands of stretches at once.
 
-The sample of a language is at most `sample_bytes` symbols, up to PER_DOC from each of the
-documents of least hash. Every language is learned: automata are broadcast, compressed, in
+The sample of a language is at most `sample_bytes` symbols: a piece of at most PIECE
+characters from each distinct text with letters in order of hash, then second pieces, until
+there are enough. A long text's pieces stand at hashed places in equal stretches of it. Every language is learned: automata are broadcast, compressed, in
 slices of SLICE languages, of which a task holds one at a time, and the least cost over all
 slices wins. A null text or one without a letter is `und` with score 0, as is everything when
 no language is learned. Null languages aren't learned; the empty name is a name.
@@ -26,13 +27,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import kernels as K
 from lodestone.llm import repeats as R
 
-STRETCH, PER_DOC, SLICE = 512, 1024, 8
+STRETCH, PIECE, SLICE = 512, 1024, 8
 FOLD = np.zeros(256, np.uint8)
 FOLD[97:123] = FOLD[65:91] = np.arange(1, 27)
 FOLD[128:] = np.arange(27, 155)
@@ -148,25 +149,77 @@ class Model:
         return self.phrases(data, offsets) * np.array(self.bits)[None, :]
 
 
+def chosen(h: np.ndarray, n: np.ndarray, sample_bytes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Texts of these hashes and lengths that a sample takes: hash, length, pieces of each."""
+    h, at = np.unique(h, return_index=True)
+    n, most = n[at], -(-sample_bytes // PIECE)
+    pieces = np.minimum(-(-n // PIECE), most)
+    each = np.minimum(PIECE, n // pieces)
+    taken, left = np.zeros(len(h), np.int64), sample_bytes
+    for j in range(most):
+        some = np.flatnonzero(pieces > j)
+        if left <= 0 or not len(some):
+            break
+        some = some[: np.searchsorted(np.cumsum(each[some]), left) + 1]
+        taken[some] += 1
+        left -= int(each[some].sum())
+    some = taken > 0
+    return h[some], n[some], taken[some]
+
+
+def candidates(sample_bytes: int) -> Callable:
+    """Map stage: the texts that samples of a task's rows alone would take; those of the
+    whole sample are among them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple] = {}
+        for batch in batches:
+            lang = batch.column("lang").dictionary_encode()
+            code, h, n = lang.indices.to_numpy(), batch.column("h").to_numpy(), batch.column("n").to_numpy()
+            order = np.argsort(code, kind="stable")
+            for a, m in zip(*K.by_group(code[order]), strict=True):
+                i = order[a : a + m]
+                name = lang.dictionary[int(code[i[0]])].as_py()
+                old = held.get(name, (h[:0], n[:0]))
+                held[name] = chosen(np.append(old[0], h[i]), np.append(old[1], n[i]), sample_bytes)[:2]
+        for name, (h, n) in held.items():
+            yield pa.RecordBatch.from_arrays([pa.array([name] * len(h), pa.string()), pa.array(h), pa.array(n)], ["lang", "h", "n"])
+
+    return run
+
+
 def fit(docs: DataFrame, sample_bytes: int = 16_384) -> dict[str, bytes]:
     """From docs (doc_id, text, lang): each language's sample."""
-    rows = docs.where("text is not null and lang is not null")
-    each = 4 * -(-sample_bytes // PER_DOC)
-    keyed = rows.select("lang", F.xxhash64(F.lit("language"), "doc_id", "text").alias("h"))
-    first = Window.partitionBy("lang").orderBy("h")
-    chosen = keyed.withColumn("i", F.row_number().over(first)).where(F.col("i") <= each).select("lang", "h").distinct()
-    texts = (
-        rows.withColumn("h", F.xxhash64(F.lit("language"), "doc_id", "text"))
-        .join(F.broadcast(chosen), ["lang", "h"])
-        .select("lang", "h", F.substring("text", 1, PER_DOC).alias("text"))
+    rows = docs.select("lang", "text", F.xxhash64(F.lit("language"), "text").alias("h"))
+    rows = rows.where("lang is not null").where(F.regexp_like("text", F.lit(r"\p{L}")))
+    some = rows.select("lang", "h", F.length("text").cast("long").alias("n")).mapInArrow(candidates(sample_bytes), "lang string, h long, n long")
+
+    def settle(part: pa.Table) -> pa.Table:
+        h, n, taken = chosen(part.column("h").to_numpy(), part.column("n").to_numpy(), sample_bytes)
+        return pa.table({"lang": pa.array([part.column("lang")[0].as_py()] * len(h), pa.string()), "h": h, "n": n, "taken": taken})
+
+    sample = some.groupBy("lang").applyInArrow(settle, "lang string, h long, n long, taken long")
+    # stretch i of p of the text's n characters; its piece stands at a hashed place in it
+    places = (
+        sample.withColumn("p", F.expr(f"least((n + {PIECE - 1}) div {PIECE}, {-(-sample_bytes // PIECE)})"))
+        .withColumn("j", F.expr("explode(sequence(0L, taken - 1))"))
+        .withColumn("i", F.expr("(j + pmod(xxhash64('first', h), p)) % p"))
+        .withColumn("low", F.expr("i * n div p"))
+        .withColumn("size", F.expr("(i + 1) * n div p - low"))
+        .withColumn("width", F.expr(f"least(size, {PIECE})"))
+        .selectExpr("lang", "h", "j", "int(low + pmod(xxhash64('place', h, j), size - width + 1) + 1) AS start", "int(width) AS width")
+    )
+    pieces = (
+        rows.join(F.broadcast(places), ["lang", "h"])
+        .select("lang", "j", "h", F.expr("substring(text, start, width)").alias("text"))
         .distinct()
-        .orderBy("lang", "h")
+        .orderBy("lang", "j", "h")
         .collect()
     )
     samples: dict[str, bytes] = {}
-    for r in texts:
+    for r in pieces:
         samples[r.lang] = (samples.get(r.lang, b"") + b"\n" + r.text.encode())[:sample_bytes]
-    return {k: v for k, v in samples.items() if v.strip()}
+    return samples
 
 
 def tag(shared: list) -> Callable:

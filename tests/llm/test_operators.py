@@ -191,6 +191,24 @@ def test_many_languages(spark):
     assert [got[d] for d, _, _ in rows] == [(whole.names[i], s) for i, s in zip(cost.argmin(1), two[:, 1] / two.sum(1), strict=True)]
 
 
+def test_language_samples(spark):
+    """Samples fill up from short texts, skip blank ones and copies, and reach into long texts."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    header = "licence " * 200
+    rows = [("short", f"{word()} {word()}") for _ in range(600)] + [("blank", "  12 ") for _ in range(500)] + [("blank", word())]
+    rows += [("paged", header + " ".join(word() for _ in range(900))) for _ in range(40)] + [("same", header)] * 300 + [("same", word())]
+    rows += [("one", " ".join(word() for _ in range(6000))), ("none", "1"), ("none", None), (None, word())]
+    docs = spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(rows)], "doc_id long, text string, lang string").repartition(3)
+    got = language.fit(docs, sample_bytes=8192)
+    assert sorted(got) == ["blank", "one", "paged", "same", "short"] and got == language.fit(docs.repartition(5), sample_bytes=8192)
+    assert len(got["short"]) == len(got["one"]) == len(got["paged"]) == 8192
+    assert got["paged"].count(b"licence ") * 8 < 8192 * 0.6
+    texts = [t for k, t in rows if k == "same"]
+    assert sorted(got["same"].decode().strip("\n").split("\n"), key=len)[0] == texts[-1] and got["same"].count(b"\n") == 3
+    assert got["blank"].decode() == f"\n{rows[1100][1]}"
+
+
 def test_ppm(spark):
     rng = np.random.default_rng(0)
     train = [bytes(rng.choice(list(b"abcD \xc3"), rng.integers(0, 40)).tolist()) for _ in range(8)]
