@@ -5,8 +5,10 @@ sorted by naming the substrings between them and sorting the string of names
 recursively; from them the L suffixes and then the S suffixes are induced through a
 priority queue that is keyed by the first symbol. An entry carries its suffix and the
 common prefix with the entry before it; common prefixes of induced suffixes come from a
-range minimum over the entries that lie between their sources. Queues live in files
-when they are larger than `Spool.memory`, so a shard may be far larger than memory.
+range minimum over the entries that lie between their sources. A shard's strings are held
+in memory and sorted in parts of about SORTED bytes that share no anchor; as a rule a part
+with its queues is smaller than `Spool.memory` and is sorted in memory. Only a part that one
+anchor makes larger puts queues in files; its text, types and sort orders stay in memory.
 Entries are handled in runs of symbols that don't induce each other, in numpy.
 
 `remove_repeats` cuts the corpus into shards by window anchor (repeats.py), so that equal
