@@ -2,7 +2,8 @@
 
 Words are A-Z lower-cased; items and windows are compared as multisets of their five-word
 shingles (an item of fewer words by its whole sequence). For every item length, windows
-of that many words get a 128-bit SimHash of their weighted shingles. Sixteen one-byte
+of that many words get a 128-bit SimHash of their distinct pairs of shingle and occurrence
+number, whose angle follows the weighted similarity. Sixteen one-byte
 blocks index the items' fingerprints: two fingerprints within RADIUS bits differ in at
 most RADIUS // 16 bits of some block, so looking up every value that near to each block
 finds all items within the radius. Candidates are verified by weighted Jaccard
@@ -42,14 +43,31 @@ def shingles(h: np.ndarray, width: int) -> np.ndarray:
     return K.mix(K.POLY_B.prefix(h)[-1:] + U(len(h))) if len(h) else np.zeros(0, U)
 
 
-def signs(sh: np.ndarray) -> np.ndarray:
-    """+1 or -1 for each bit of each shingle."""
+def signs(sh: np.ndarray, number: np.ndarray | None = None) -> np.ndarray:
+    """+1 or -1 for each bit of each shingle, or of its occurrence of that number."""
+    if number is not None:
+        sh = sh ^ K.mix((number - 1).astype(U))  # the first is the shingle itself
     both = np.stack([K.mix(sh ^ U(0x1F83D9AB)), K.mix(sh ^ U(0x5BE0CD19))], 1)
-    return np.unpackbits(both.view(np.uint8).reshape(len(sh), -1), axis=1).astype(np.int32) * 2 - 1
+    return np.unpackbits(both.view(np.uint8).reshape(len(sh), BITS // 8), axis=1).astype(np.int32) * 2 - 1
 
 
 def fingerprints(sh: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
     """SimHash bytes of windows of `size` shingles."""
+    n = len(sh)
+    u, value = np.unique(sh, return_inverse=True)
+    if len(u) < n:
+        place = np.sort(value * n + np.arange(n))
+
+        def among(p, a, b):
+            """How many of sh[a:b] equal sh[p]."""
+            return np.searchsorted(place, value[p] * n + b) - np.searchsorted(place, value[p] * n + a)
+
+        # The next window lacks the last occurrence of what leaves and has one more of what comes.
+        first, i = np.arange(size), np.arange(n - size)
+        total = np.empty((n - size + 1, BITS), np.int32)
+        total[0] = signs(sh[:size], among(first, 0, first + 1)).sum(0)
+        total[1:] = signs(sh[size:], among(i + size, i + 1, i + size + 1)) - signs(sh[i], among(i, i, i + size))
+        return np.packbits(np.cumsum(total, axis=0)[starts] > 0, axis=1)
     total = np.zeros((len(sh) + 1, BITS), np.int32)
     np.cumsum(signs(sh), axis=0, out=total[1:])
     return np.packbits(total[starts + size] - total[starts] > 0, axis=1)

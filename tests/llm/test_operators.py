@@ -114,6 +114,27 @@ def test_decontamination_of_items_of_one_shingle(spark):
     assert {r.doc_id for r in decontaminate.clean(df, it).collect()} == {3, 4}
 
 
+def test_decontamination_of_repeated_shingles(spark):
+    """An item's run of equal words that the document replaces by another such run."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    items, docs = [], []
+    for i in range(12):
+        w = [word() for _ in range(108)]
+        items.append((i, " ".join([*w, *[word()] * 17])))
+        docs.append((i, " ".join([word(), *w, *[word()] * 17, word()])))
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == decontaminate.brute(docs, items, 0.75) and len(got) == 12
+    sh = np.array([rng.randint(0, 9) for _ in range(60)], np.uint64)
+    for s in range(51):
+        seen, pairs = {}, []
+        for x in sh[s : s + 10].tolist():
+            seen[x] = seen.get(x, 0) + 1
+            pairs.append(seen[x])
+        want = np.packbits(decontaminate.signs(sh[s : s + 10], np.array(pairs)).sum(0) > 0)
+        assert np.array_equal(decontaminate.fingerprints(sh, np.array([s]), 10)[0], want)
+
+
 def test_archive(spark):
     rows = [(1, "http://a", "<p>é</p>"), (2, "http://b", "<p>é</p>"), (3, None, None), (4, "x\ny", ""), (None, "n", "z"), (7, "same", "q"), (7, "same", "q")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
