@@ -2,14 +2,22 @@
 or above a threshold.
 
 On unit vectors the cosine bounds the chord: cos >= c means a distance of at most
-sqrt(2 - 2c). Vectors are dealt into blocks of bounded size, by the nearest of a few
-pivots and a salt, so a popular region makes more blocks, not larger ones. Every block
-gets a cover tree: nested levels of centres with halving radii, each node with the
-distance to its furthest descendant. For each pair of blocks whose pivots' regions can hold a
-link, both trees are descended together; a pair of nodes is pruned when its centres are
-further apart than both covering radii and the threshold. What is left at the points
-is compared in double precision. A task emits link counts and a spanning forest of its
-links, never the pairs.
+sqrt(2 - 2c). Vectors are dealt to cells, that of the nearest pivot of a sample's cover tree;
+there are the more pivots the more vectors, and a popular cell makes more blocks, not larger
+ones. Every block of about BLOCK bytes gets a cover tree: nested levels of centres with halving
+radii until a node holds few points, equal points, or points that a level no longer thins
+out. Each node knows the distance to its furthest point. Neighbouring blocks form groups of
+at most GROUP. Pairs of groups, of blocks and of nodes are descended together and end where
+
+* both covering radii and the threshold don't reach (no pair is a link), or
+* the threshold reaches across both radii (all pairs are links: sizes are added to the counts
+  and one edge joins the two sides), or
+* two leaves meet: their points are compared by a matrix product, and what single precision
+  can't decide in double.
+
+A task gets two groups, each block once. It emits link counts and a spanning forest, never
+the pairs. Vectors are scaled by powers of two before norms, so finite components of any size
+count.
 
 Vectors that are null, empty or zero, or hold null or non-finite components, link with
 nothing; vectors of different dimensions don't link. Rows of equal vec_id are vectors of
@@ -21,27 +29,54 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import kernels as K
 from lodestone.llm.common import saved
-from lodestone.llm.graph import components
+from lodestone.llm.graph import components, settled, union
 
 LAST = (1 << 63) - 1
-RADII = (1.0, 0.5, 0.25, 0.125)
-#: Single precision may be off by so much in a distance of unit vectors.
-SLACK = 2e-3
-TILE = 1024
+#: Bytes of a block's vectors in single precision, blocks of a group, points of a leaf.
+BLOCK, GROUP, LEAF = 2 << 20, 16, 256
+#: Bytes of pivots that are broadcast; beyond them cells get more blocks.
+PIVOTS = 32 << 20
+EDGES = 1 << 18
+#: Most partitions of a shuffle; each does its blocks or pairs one after another.
+PARTS = 20_000
+
+
+def error(dim: int) -> float:
+    """Bound of the error of a dot product of unit vectors in single precision."""
+    return 2.4e-7 * max(16, dim)
+
+
+def slack(dim: int) -> float:
+    """Bound of the error of three chords added up."""
+    return 3 * float(np.sqrt(2 * error(dim)))
 
 
 def chord(dots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2.0 - 2.0 * dots, 0.0))
 
 
-def net(x: np.ndarray, radius: float, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Centres no two of which are within the radius, and each point's centre (its rank)."""
+def scaled(x: np.ndarray) -> np.ndarray:
+    """In double precision, each vector times a power of two, which is exact."""
+    x = x.astype(np.float64)
+    _, e = np.frexp(np.abs(x).max(1, initial=0.0))
+    return np.ldexp(x, -e[:, None])
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    x = scaled(x)
+    return (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]).astype(np.float32)
+
+
+def net(x: np.ndarray, radius: float, most: int | None = None, batch: int = 256) -> tuple[np.ndarray, np.ndarray] | None:
+    """Centres no two of which are within the radius, and each point's centre (its rank).
+    None if there are more than `most`, or, without it, if most points are centres."""
     n = len(x)
     owner = np.full(n, -1)
     centres: list[int] = []
@@ -64,199 +99,296 @@ def net(x: np.ndarray, radius: float, batch: int = 256) -> tuple[np.ndarray, np.
             hit = d[np.arange(len(rest)), best] >= least
             owner[rest[hit]] = len(centres) - len(new) + best[hit]
             rest = rest[~hit]
+        done = n - len(rest)
+        if len(centres) > (done // 2 if most is None and done >= 512 else n if most is None else most):
+            return None
     return np.array(centres, np.int64), owner
 
 
 class CoverTree:
-    """levels[i]: centre, covering radius and first child of each node; a level's nodes are
-    ordered by parent, and the last level are the points themselves. `order` are the
-    points in the order of the last level."""
+    """Nodes by number: range of points in `order`, covering radius, first child and number of
+    children (0: a leaf). The first point of a range is the node's centre, and the first
+    child's too, so levels are nested. Node 0 is the root; children follow their parent."""
+
+    FIELDS = ("start", "end", "radius", "child", "children")
 
     def __init__(self, x: np.ndarray):
-        order = np.arange(len(x))
-        bounds = np.array([0, len(x)])
-        self.centres, cuts = [np.zeros(1, np.int64)], [bounds]
-        for radius in RADII:
-            size = np.diff(bounds)
-            parts, centre, cut = [], [], [0]
-            single = size == 1
-            for i in range(len(size)):
-                a, b = int(bounds[i]), int(bounds[i + 1])
-                if single[i]:
-                    parts.append(order[a:b])
-                    centre.append(order[a : a + 1])
-                    cut.append(cut[-1] + 1)
+        self.order = np.arange(len(x))
+        if len(x):
+            middle = int((x @ x.mean(0)).argmax())
+            self.order[[0, middle]] = middle, 0
+        start, end, radius, child, children = [0], [len(x)], [0.0], [0], [0]
+        least = slack(x.shape[1])
+        at = 0
+        while at < len(start):
+            a, b = start[at], end[at]
+            mine = self.order[a:b]
+            radius[at] = float(chord(x[mine] @ x[mine[0]]).max(initial=0.0))
+            parts = None
+            if b - a > LEAF and radius[at] > least:
+                r = 2.0 ** np.ceil(np.log2(radius[at]) - 1)
+                while (parts := net(x[mine], r)) is not None and len(parts[0]) == 1 and r > least:
+                    r /= 2
+            if parts is not None and len(parts[0]) > 1:
+                c, owner = parts
+                self.order[a:b] = mine[np.argsort(owner, kind="stable")]
+                cut = a + np.concatenate(([0], np.cumsum(np.bincount(owner, minlength=len(c)))))
+                child[at], children[at] = len(start), len(c)
+                start += cut[:-1].tolist()
+                end += cut[1:].tolist()
+                for column in (radius, child, children):
+                    column += [0] * len(c)
+            at += 1
+        self.start, self.end, self.child, self.children = (np.array(c, np.int64) for c in (start, end, child, children))
+        self.radius = np.array(radius, np.float32)
+
+
+class Side:
+    """The blocks of a group: vectors in tree order after one another, and their trees."""
+
+    def __init__(self, blobs: list[bytes], rows: int):
+        z = [K.unpack(b) for b in blobs]
+        self.trees = z
+        self.rows = np.concatenate([x["row"] for x in z])
+        self.raw = [x["x"].reshape(len(x["row"]), -1) for x in z]
+        self.unit = [unit(x) for x in self.raw]
+        self.at = rows + np.concatenate(([0], np.cumsum([len(x) for x in self.raw])))
+
+
+def dual(a: dict, xa: np.ndarray, ra: np.ndarray, b: dict, xb: np.ndarray, rb: np.ndarray, threshold: float, same: bool):
+    """(kind, ...) of two blocks: ("whole", node pairs) all of whose points link, and ("some",
+    places of a, places of b), links found by comparing leaves."""
+    reach, dim = float(chord(np.array(threshold))), xa.shape[1]
+    off, wrong = slack(dim), error(dim)
+    p, q = np.zeros(1, np.int64), np.zeros(1, np.int64)
+    leaves: list[tuple[np.ndarray, np.ndarray]] = []
+    while len(p):
+        more_p, more_q = [], []
+        for s in range(0, len(p), 1 << 17):
+            i, j = p[s : s + (1 << 17)], q[s : s + (1 << 17)]
+            d = chord(np.einsum("ij,ij->i", xa[a["start"][i]], xb[b["start"][j]]))
+            if same:
+                d[i == j] = 0.0
+            wide = a["radius"][i] + b["radius"][j]
+            whole = d + wide <= reach - off
+            if whole.any():
+                yield "whole", i[whole], j[whole]
+            open_ = ~whole & (d - wide <= reach + off)
+            i, j = i[open_], j[open_]
+            leaf_i, leaf_j = a["children"][i] == 0, b["children"][j] == 0
+            done = leaf_i & leaf_j
+            leaves.append((i[done], j[done]))
+            i, j, leaf_i, leaf_j = i[~done], j[~done], leaf_i[~done], leaf_j[~done]
+            self_ = (i == j) if same else np.zeros(len(i), bool)
+            left = ~self_ & ~leaf_i & (leaf_j | (a["radius"][i] >= b["radius"][j]))
+            for down, left_side in ((left, True), (~left & ~self_, False)):
+                if down.any():
+                    side, node = (a, i[down]) if left_side else (b, j[down])
+                    n = side["children"][node]
+                    kids = K.ranges(side["child"][node], n)
+                    other = np.repeat((j if left_side else i)[down], n)
+                    more_p.append(kids if left_side else other)
+                    more_q.append(other if left_side else kids)
+            for node in i[self_].tolist():
+                kids = np.arange(a["child"][node], a["child"][node] + a["children"][node])
+                u, v = np.triu_indices(len(kids))
+                more_p.append(kids[u])
+                more_q.append(kids[v])
+        p, q = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (more_p, more_q))
+    i, j = (np.concatenate([x[k] for x in leaves]) for k in (0, 1))
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    for f, n in zip(*K.by_group(i), strict=True):
+        s, e = int(a["start"][i[f]]), int(a["end"][i[f]])
+        mine = j[f : f + n]
+        size = b["end"][mine] - b["start"][mine]
+        right = K.ranges(b["start"][mine], size)
+        for c in range(0, len(right), 2048):
+            at = right[c : c + 2048]
+            near = xb[at].T if n > 1 else xb[at[0] : at[-1] + 1].T
+            for s2 in range(s, e, 2048):
+                e2 = min(e, s2 + 2048)
+                if same and n == 1 and at[-1] < s2:
                     continue
-                mine = order[a:b]
-                c, owner = net(x[mine], radius)
-                by = np.argsort(owner, kind="stable")
-                parts.append(mine[by])
-                centre.append(mine[c])
-                cut += (cut[-1] + np.cumsum(np.bincount(owner, minlength=len(c)))).tolist()
-            order, bounds = np.concatenate(parts), np.array(cut)
-            self.centres.append(np.concatenate(centre))
-            cuts.append(bounds)
-        self.centres.append(order)
-        cuts.append(np.arange(len(x) + 1))
-        self.radius, self.child = [], []
-        # Every later level only permutes points within nodes, so cuts stay valid.
-        for level, (c, cut) in enumerate(zip(self.centres, cuts, strict=True)):
-            each = np.repeat(c, np.diff(cut))
-            far = chord(np.einsum("ij,ij->i", x[order], x[each]))
-            self.radius.append(np.maximum.reduceat(far, cut[:-1]) if level < len(cuts) - 1 else np.zeros(len(c)))
-            self.child.append(np.searchsorted(cuts[level + 1], cut) if level < len(cuts) - 1 else None)
-        self.order = order
-
-
-def dual(a: CoverTree, xa: np.ndarray, b: CoverTree, xb: np.ndarray, reach: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of points (rows of xa, xb) that bounds don't exclude, in batches."""
-    pairs = [(np.zeros(1, np.int64), np.zeros(1, np.int64))]
-    for level in range(1, len(a.centres)):
-        found = []
-        ca, cb, ra, rb = a.centres[level], b.centres[level], a.radius[level], b.radius[level]
-        fa, fb = a.child[level - 1], b.child[level - 1]
-        last = level == len(a.centres) - 1
-        for p, q in pairs:
-            na, nb = fa[p + 1] - fa[p], fb[q + 1] - fb[q]
-            size = na * nb
-            for i in np.flatnonzero(size > 4096):  # many children: by matrix products
-                i0, i1, j0, j1 = int(fa[p[i]]), int(fa[p[i] + 1]), int(fb[q[i]]), int(fb[q[i] + 1])
-                right = xb[cb[j0:j1]].T
-                for s in range(i0, i1, TILE):
-                    e = min(s + TILE, i1)
-                    # chord <= bound, as a bound on the dot product
-                    bound = ra[s:e, None] + rb[None, j0:j1] + np.float32(reach + SLACK)
-                    dots = xa[ca[s:e]] @ right
-                    u, v = np.nonzero(dots >= 1 - bound * bound / 2)
-                    if len(u):
-                        found.append((u + s, v + j0))
-            some = np.flatnonzero(size <= 4096)
-            step = 1 << 18
-            total = np.cumsum(size[some])
-            start = 0
-            while start < len(some):
-                end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + step, "right")))
-                i = some[start:end]
-                start = end
-                within = K.ranges(np.zeros(len(i), np.int64), size[i])
-                width = np.repeat(nb[i], size[i])
-                u = np.repeat(fa[p[i]], size[i]) + within // width
-                v = np.repeat(fb[q[i]], size[i]) + within % width
-                bound = ra[u] + rb[v] + reach + SLACK
-                ok = np.einsum("ij,ij->i", xa[ca[u]], xb[cb[v]]) >= 1 - bound * bound / 2
-                if ok.any():
-                    found.append((u[ok], v[ok]))
-            if last:
-                yield from ((ca[u], cb[v]) for u, v in found)
-                found = []
-        pairs = found
-
-
-def unit(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float64)
-    return (x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]).astype(np.float32)
+                dots = xa[s2:e2] @ near
+                u, v = np.divmod(np.flatnonzero(dots.reshape(-1) >= np.float32(threshold - wrong)), len(at))
+                if not len(u):
+                    continue
+                sure = dots[u, v] >= threshold + wrong
+                u, v = u + s2, at[v]
+                if same:
+                    keep = u < v
+                    u, v, sure = u[keep], v[keep], sure[keep]
+                test = np.flatnonzero(~sure)
+                for t in range(0, len(test), 1 << 15):
+                    k = test[t : t + (1 << 15)]
+                    y, z = scaled(ra[u[k]]), scaled(rb[v[k]])
+                    norms = np.sqrt(np.einsum("ij,ij->i", y, y)) * np.sqrt(np.einsum("ij,ij->i", z, z))
+                    sure[k] = np.einsum("ij,ij->i", y, z) / norms >= threshold
+                yield "some", u[sure], v[sure]
+
+
+def links(x: Side, y: Side | None, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, link counts and roots of one group's own pairs, or of those between two."""
+    same_group = y is None
+    y = x if same_group else y
+    total = int(y.at[-1])
+    change, chain = np.zeros(total + 1, np.int64), np.zeros(total + 1, np.int64)
+    count = np.zeros(total, np.int64)
+    root = np.arange(total)
+    us: list[np.ndarray] = []
+    vs: list[np.ndarray] = []
+    waiting = 0
+    for p in range(len(x.raw)):
+        for q in range(p if same_group else 0, len(y.raw)):
+            same = same_group and p == q
+            ta, tb, oa, ob = x.trees[p], y.trees[q], int(x.at[p]), int(y.at[q])
+            for kind, u, v in dual(ta, x.unit[p], x.raw[p], tb, y.unit[q], y.raw[q], threshold, same):
+                if kind == "whole":
+                    sa, ea, sb, eb = ta["start"][u] + oa, ta["end"][u] + oa, tb["start"][v] + ob, tb["end"][v] + ob
+                    self_ = (u == v) if same else np.zeros(len(u), bool)
+                    for s, e, n in ((sa, ea, eb - sb - self_), (sb, eb, np.where(self_, 0, ea - sa))):
+                        np.add.at(change, s, n)
+                        np.add.at(change, e, -n)
+                        # all points of a side are joined by way of the other
+                        np.add.at(chain, s, 1)
+                        np.add.at(chain, e - 1, -1)
+                    u, v = sa, sb
+                else:
+                    u, v = u + oa, v + ob
+                    np.add.at(count, u, 1)
+                    np.add.at(count, v, 1)
+                us.append(u)
+                vs.append(v)
+                waiting += len(u)
+                if waiting > EDGES:
+                    root = union(root, np.concatenate(us), np.concatenate(vs))
+                    us, vs, waiting = [], [], 0
+    linked = np.flatnonzero(np.cumsum(chain)[:-1] > 0)
+    root = union(root, np.concatenate([linked, *us]), np.concatenate([linked + 1, *vs]))
+    root = settled(root)
+    rows = x.rows if same_group else np.concatenate((x.rows, y.rows))
+    return rows, count + np.cumsum(change)[:-1], root
 
 
 def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by block to one row for each block: its vectors and its tree."""
-    from lodestone.llm.near import whole_groups
-
-    for t in whole_groups(batches, ["block"]):
+    for t in K.whole_groups(batches, ["block"]):
         block, row = t.column("block").to_numpy(), t.column("row").to_numpy()
         vectors = t.column("embedding")
         for f, size in zip(*K.by_group(block), strict=True):
             v = vectors.slice(int(f), int(size)).combine_chunks()
             x = v.flatten().to_numpy(zero_copy_only=False).reshape(int(size), -1)
-            tree = CoverTree(unit(x))
-            arrays = {"row": row[f : f + size], "x": x.reshape(-1), "order": tree.order}
-            for i, (c, r, k) in enumerate(zip(tree.centres, tree.radius, tree.child, strict=True)):
-                arrays |= {f"c{i}": c, f"r{i}": r.astype(np.float32)} | ({f"k{i}": k} if k is not None else {})
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(block[f : f + 1]), pa.array([int(size)], pa.int64()), pa.array([K.pack(**arrays)], pa.binary())], ["block", "n", "tree"]
-            )
-
-
-def grown(blob: bytes) -> tuple[CoverTree, np.ndarray, np.ndarray]:
-    z = K.unpack(blob)
-    tree = CoverTree.__new__(CoverTree)
-    levels = len(RADII) + 2
-    tree.order = z["order"]
-    tree.centres = [z[f"c{i}"] for i in range(levels)]
-    tree.radius = [z[f"r{i}"] for i in range(levels)]
-    tree.child = [z.get(f"k{i}") for i in range(levels)]
-    return tree, z["row"], z["x"].reshape(len(z["row"]), -1)
+            u = unit(x)
+            tree = CoverTree(u)
+            blob = K.pack(row=row[f : f + size][tree.order], x=x[tree.order].reshape(-1), **{k: getattr(tree, k) for k in CoverTree.FIELDS})
+            values = [int(block[f]), int(size), float(tree.radius[0]), u[tree.order[0]].tobytes(), blob]
+            yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(values, TREES_PA, strict=True)], ["block", "n", "radius", "centre", "tree"])
+
+
+TREES_PA = (pa.int64(), pa.int64(), pa.float64(), pa.binary(), pa.binary())
+TREES = "block long, n long, radius double, centre binary, tree binary"
 
 
 def compare(threshold: float) -> Callable:
-    """Pairs of blocks to (a, b, n): link counts n of row a (b null), forest links a, b."""
-    reach = float(chord(np.array(threshold)))
+    """Blocks sorted by task (i, j) and group to (a, b, n): link counts n of row a (b null),
+    forest links a, b."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                same = batch.column("p")[i].as_py() == batch.column("q")[i].as_py()
-                ta, rows_a, a = grown(batch.column("tree_p")[i].as_py())
-                tb, rows_b, b = (ta, rows_a, a) if same else grown(batch.column("tree_q")[i].as_py())
-                ua, a = unit(a), a.astype(np.float64)
-                ub, b = (ua, a) if same else (unit(b), b.astype(np.float64))
-                la, lb = np.sqrt(np.einsum("ij,ij->i", a, a)), np.sqrt(np.einsum("ij,ij->i", b, b))
-                count_a, count_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-                shift = 0 if same else len(a)
-                root = np.arange(len(a) + (0 if same else len(b)))
-                for u, v in dual(ta, ua, tb, ub, reach):
-                    if same:
-                        keep = u < v
-                        u, v = u[keep], v[keep]
-                    for s in range(0, len(u), 1 << 15):
-                        x, y = u[s : s + (1 << 15)], v[s : s + (1 << 15)]
-                        ok = np.einsum("ij,ij->i", a[x], b[y]) / (la[x] * lb[y]) >= threshold
-                        x, y = x[ok], y[ok]
-                        count_a += np.bincount(x, minlength=len(a))
-                        count_b += np.bincount(y, minlength=len(b))
-                        y = y + shift
-                        while len(x):
-                            low = np.minimum(root[x], root[y])
-                            np.minimum.at(root, root[x], low)
-                            np.minimum.at(root, root[y], low)
-                            root = root[root]
-                            differ = root[x] != root[y]
-                            x, y = x[differ], y[differ]
-                while (root[root] != root).any():
-                    root = root[root]
-                if same:
-                    rows, counts = rows_a, count_a + count_b
-                else:
-                    rows, counts = np.concatenate((rows_a, rows_b)), np.concatenate((count_a, count_b))
+        for t in K.whole_groups(batches, ["i", "j"]):
+            i, j, group = (t.column(c).to_numpy() for c in ("i", "j", "group"))
+            cut = np.concatenate(([0], np.flatnonzero((i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1, [len(i)]))
+            trees = t.column("tree")
+            for f, e in zip(cut[:-1], cut[1:], strict=True):
+                blobs = [trees[k].as_py() for k in range(f, e)]
+                left = int(np.count_nonzero(group[f:e] == i[f]))
+                x = Side(blobs[:left], 0)
+                y = Side(blobs[left:], int(x.at[-1])) if i[f] != j[f] else None
+                rows, counts, root = links(x, y, threshold)
                 some, tied = np.flatnonzero(counts), np.flatnonzero(root != np.arange(len(root)))
                 out = [(rows[some], None, counts[some]), (rows[tied], rows[root[tied]], np.zeros(len(tied), np.int64))]
                 for p, q, n in out:
-                    if len(p):
-                        q = pa.nulls(len(p), pa.int64()) if q is None else pa.array(q)
-                        yield pa.RecordBatch.from_arrays([pa.array(p), q, pa.array(n)], ["a", "b", "n"])
+                    for s in range(0, len(p), 100_000):
+                        z = slice(s, s + 100_000)
+                        other = pa.nulls(len(p[z]), pa.int64()) if q is None else pa.array(q[z])
+                        yield pa.RecordBatch.from_arrays([pa.array(p[z]), other, pa.array(n[z])], ["a", "b", "n"])
 
     return run
 
 
-def nearest(pivots: np.ndarray) -> Callable:
-    """Each vector's pivot and its distance from it."""
+class Pivots:
+    """Centres of a sample's cover tree in tree order, and a coarser net of them by which a
+    vector finds a near one."""
+
+    def __init__(self, x: np.ndarray, most: int):
+        found, radius = x[:1], 1.0
+        while (c := net(x, radius, most)) is not None:
+            found = x[c[0]]
+            if radius < slack(x.shape[1]):
+                break
+            radius /= 2
+        self.x = found[CoverTree(found).order]
+        top = max(1, int(np.sqrt(len(self.x))))
+        self.heads = self.x[:: max(1, len(self.x) // top)]
+        self.near = (self.x @ self.heads.T).argmax(1)
+
+    def cells(self, x: np.ndarray) -> np.ndarray:
+        """The pivot of each vector: the nearest of those whose head is its nearest head."""
+        if len(self.x) <= 4096:
+            return (x @ self.x.T).argmax(1)
+        out, head = np.zeros(len(x), np.int64), (x @ self.heads.T).argmax(1)
+        for h in np.unique(head):
+            mine, members = np.flatnonzero(head == h), np.flatnonzero(self.near == h)
+            out[mine] = members[(x[mine] @ self.x[members].T).argmax(1)]
+        return out
+
+
+def nearest(shared) -> Callable:
+    """Each vector's cell; other dimensions than the pivots' have one of their own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pivots = shared.value
         for batch in batches:
             v = batch.column("embedding")
             dims = batch.column("dim").to_numpy()
-            cell, far = np.zeros(len(dims), np.int64), np.zeros(len(dims))
-            mine = np.flatnonzero(dims == pivots.shape[1])
-            if len(mine):
-                x = unit(v.take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False).reshape(len(mine), -1))
-                d = x @ pivots.T
-                cell[mine] = d.argmax(1)
-                far[mine] = chord(d.max(1))
-            yield pa.RecordBatch.from_arrays([batch.column("row"), v, batch.column("dim"), pa.array(cell), pa.array(far)], ["row", "embedding", "dim", "cell", "far"])
+            cell = np.zeros(len(dims), np.int64)
+            mine = np.flatnonzero(dims == pivots.x.shape[1])
+            for s in range(0, len(mine), 4096):
+                at = mine[s : s + 4096]
+                cell[at] = pivots.cells(unit(v.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), -1)))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), v, batch.column("dim"), pa.array(cell)], ["row", "embedding", "dim", "cell"])
 
     return run
 
 
-def group(vectors: DataFrame, threshold: float = 0.9, per_block: int = 8192, sample: int = 2048, max_pivots: int = 64) -> DataFrame:
+def meetings(found: pd.DataFrame, threshold: float, groups: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Of blocks (dim, n, radius, centre) with their groups: pairs of groups to be compared,
+    and those all of whose pairs are links."""
+    reach = float(chord(np.array(threshold)))
+    first = np.flatnonzero(np.diff(groups, prepend=-1))
+    open_, whole = [], []
+    centre, radius, dims = [], [], found["dim"].to_numpy()[first]
+    for f, e in zip(first, np.append(first[1:], len(groups)), strict=True):
+        c = np.stack([np.frombuffer(b, np.float32) for b in found["centre"][f:e]])
+        mid = c[len(c) // 2]
+        centre.append(mid)
+        radius.append(float((chord(c @ mid) + found["radius"].to_numpy()[f:e]).max()))
+    radius = np.array(radius)
+    for dim in np.unique(dims):
+        at = np.flatnonzero(dims == dim)
+        c, off = np.stack([centre[k] for k in at]), slack(int(dim)) * 2
+        for k in range(len(at)):
+            d = chord(c[k:] @ c[k])
+            d[0] = 0.0
+            wide = radius[at[k]] + radius[at[k:]]
+            inside = d + wide <= reach - off
+            near = ~inside & (d - wide <= reach + off)
+            open_.append(np.stack([np.full(int(near.sum()), at[k]), at[k:][near]], 1))
+            whole += [(int(at[k]), int(g)) for g in at[k:][inside]]
+    return np.concatenate(open_) if open_ else np.zeros((0, 2), np.int64), whole
+
+
+def group(vectors: DataFrame, threshold: float = 0.9, per_block: int | None = None) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row of vectors (vec_id, embedding)."""
     spark = vectors.sparkSession
     e = F.col("embedding").cast("array<double>")
@@ -268,62 +400,71 @@ def group(vectors: DataFrame, threshold: float = 0.9, per_block: int = 8192, sam
         "vectors",
     )
     usable = rows.where("good").select("row", F.col("embedding"), F.size("embedding").alias("dim"))
-    first = usable.orderBy(F.xxhash64("row")).limit(sample).collect()
-    dims = max((r.dim for r in first), key=[r.dim for r in first].count, default=1)
-    x = unit(np.array([r.embedding for r in first if r.dim == dims], np.float64)) if first else np.ones((1, 1), np.float32)
-    pivots = x[:1]
-    for radius in RADII:
-        c, _ = net(x, radius)
-        if len(c) > max_pivots:
-            break
-        pivots = x[c]
+    sizes = {r.dim: r.n for r in usable.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return rows.select(F.when(F.col("vec_id") != LAST, F.col("vec_id")).alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.when(F.col("vec_id") != LAST, F.col("vec_id")).alias("component_id"), F.lit(True).alias("kept"))
+    most = max(sizes, key=lambda d: (sizes[d], d))
+    size_of = lambda d: per_block or max(64, BLOCK // (4 * d))
+    # One pivot for every half block, at least some, and a sample of a few vectors for each.
+    wanted = max(16, min(-(-2 * sizes[most] // size_of(most)), PIVOTS // (4 * most)))
+    first = usable.where(F.col("dim") == most).select("embedding", F.xxhash64("row").alias("h")).orderBy("h").limit(8 * wanted).toPandas()
+    pivots = Pivots(unit(np.stack(first["embedding"].to_numpy())), wanted)
     kind = usable.schema["embedding"].dataType.simpleString()
-    placed = saved(usable.mapInArrow(nearest(pivots), f"row long, embedding {kind}, dim int, cell long, far double"), "vector-cells")
-    cells = placed.groupBy("dim", "cell").agg(F.count("*").alias("n"), F.max("far").alias("radius")).collect()
-    reach = float(chord(np.array(threshold)))
-    # A cell's blocks have numbers of their own; pairs of cells that are too far apart fall out.
-    number, blocks = {}, 0
-    for r in sorted(cells, key=lambda r: (r.dim, r.cell)):
-        parts = -(-r.n // per_block)
-        number[r.dim, r.cell] = (blocks, parts, r.radius)
-        blocks += parts
-    dealt = spark.createDataFrame([(d, c, b, p) for (d, c), (b, p, _) in number.items()], "dim int, cell long, base long, parts long")
+    shared = spark.sparkContext.broadcast(pivots)
+    placed = saved(usable.mapInArrow(nearest(shared), f"row long, embedding {kind}, dim int, cell long"), "vector-cells")
+    cells = placed.groupBy("dim", "cell").agg(F.count("*").alias("n")).toPandas().sort_values(["dim", "cell"])
+    # A cell's blocks have successive numbers.
+    cells["parts"] = [-(-n // size_of(d)) for d, n in zip(cells["dim"], cells["n"], strict=True)]
+    cells["base"] = cells["parts"].cumsum() - cells["parts"]
+    parts = max(1, min(PARTS, int(cells["parts"].sum())))
+    dealt = spark.createDataFrame(cells[["dim", "cell", "base", "parts"]], "dim int, cell long, base long, parts long")
     block = F.col("base") + F.pmod(F.xxhash64("row"), F.col("parts"))
     blocked = placed.join(F.broadcast(dealt), ["dim", "cell"]).select(block.alias("block"), "row", "embedding")
-    width = max(1, min(blocks, 2000))
-    trees = saved(
-        blocked.repartition(width, "block").sortWithinPartitions("block").mapInArrow(plant, "block long, n long, tree binary"),
-        "vector-trees",
-    )
-    near = []
-    for (d1, c1), (b1, p1, r1) in number.items():
-        for (d2, c2), (b2, p2, r2) in number.items():
-            if d1 != d2 or c2 < c1:
-                continue
-            apart = float(chord(pivots[c1] @ pivots[c2])) if d1 == pivots.shape[1] else 0.0
-            if c1 == c2 or apart <= r1 + r2 + reach + 2 * SLACK:
-                near.append((b1, p1, b2, p2))
-    pairs = (
-        spark.createDataFrame(near, "b1 long, p1 long, b2 long, p2 long")
-        .select(F.explode(F.sequence(F.col("b1"), F.col("b1") + F.col("p1") - 1)).alias("p"), "b2", "p2")
-        .select("p", F.explode(F.sequence(F.col("b2"), F.col("b2") + F.col("p2") - 1)).alias("q"))
-        .where("p <= q")
-    )
-    left = trees.select(F.col("block").alias("p"), F.col("tree").alias("tree_p"))
-    right = trees.select(F.col("block").alias("q"), F.col("tree").alias("tree_q"))
-    both = pairs.join(left.hint("merge"), "p").join(right.hint("merge"), "q").select("p", "q", "tree_p", "tree_q")
-    both = both.repartition(max(1, min(100_000, blocks * blocks)), "p", "q")
-    found = saved(both.mapInArrow(compare(threshold), "a long, b long, n long"), "vector-links")
-
-    counts = found.where("b is null").groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("n_links"))
-    part = components(found.where("b is not null").select("a", "b"), "vector-components").withColumnRenamed("node", "row")
+    trees = saved(blocked.repartitionById(parts, (F.col("block") % parts).cast("int")).sortWithinPartitions("block").mapInArrow(plant, TREES), "vector-trees")
+
+    found = trees.select("block", "n", "radius", "centre").toPandas().sort_values("block").reset_index(drop=True)
+    found["dim"] = found["centre"].map(len) // 4
+    # Neighbouring blocks form groups of one dimension; some groups even of few blocks.
+    each = max(1, min(GROUP, len(found) // 6))
+    place = found.groupby("dim", sort=False).cumcount().to_numpy() // each
+    groups = np.cumsum(np.concatenate(([0], (place[1:] != place[:-1]) | (np.diff(found["dim"]) != 0)))).astype(np.int64)
+    pairs, whole = meetings(found, threshold, groups)
+    grouped = spark.createDataFrame(pd.DataFrame({"block": found["block"], "group": groups}), "block long, group long")
+    # A place takes several pairs in turn where there are more than PARTS.
+    where = np.arange(len(pairs)) % PARTS
+    both = pd.DataFrame({"i": np.tile(pairs[:, 0], 2), "j": np.tile(pairs[:, 1], 2), "group": pairs.T.reshape(-1), "place": np.tile(where, 2)}).drop_duplicates()
+    tasks = spark.createDataFrame(both, "i long, j long, group long, place int")
+    work = trees.select("block", "tree").join(grouped, "block").join(tasks, "group").select("place", "i", "j", "group", "block", "tree")
+    work = work.repartitionById(max(1, min(PARTS, len(pairs))), F.col("place")).sortWithinPartitions("i", "j", "group", "block").drop("place")
+    out = saved(work.mapInArrow(compare(threshold), "a long, b long, n long"), "vector-links")
+
+    counts, edges = out.where("b is null").select("a", "n"), out.where("b is not null").select("a", "b")
+    if whole:
+        # Groups of which all pairs link: sizes for each member, and a chain by way of the first.
+        n = found.groupby(groups)["n"].sum().to_numpy()
+        extra, joined = np.zeros(len(n), np.int64), np.arange(len(n))
+        for g, h in whole:
+            extra[g] += n[h] - (g == h)
+            extra[h] += n[g] if g != h else 0
+        joined = settled(union(joined, *(np.array(c, np.int64) for c in zip(*whole, strict=True))))
+        bonded = np.unique(np.array(whole))
+        members = blocked.select("block", "row").join(F.broadcast(grouped), "block")
+        firsts = members.groupBy("group").agg(F.min("row").alias("first"))
+        bonds = spark.createDataFrame(pd.DataFrame({"group": bonded, "extra": extra[bonded], "joined": joined[bonded]}), "group long, extra long, joined long")
+        heads = bonds.join(firsts.withColumnRenamed("group", "joined"), "joined").select("group", "extra", "first")
+        mine = members.join(F.broadcast(heads), "group")
+        counts = counts.unionByName(mine.select(F.col("row").alias("a"), F.col("extra").alias("n")))
+        edges = edges.unionByName(mine.select(F.col("row").alias("a"), F.col("first").alias("b")))
+    counts = counts.groupBy(F.col("a").alias("row")).agg(F.sum("n").alias("n_links")).where("n_links > 0")
+    part = components(edges, "vector-components").withColumnRenamed("node", "row")
     known = rows.select("vec_id", "row").join(counts, "row", "left").join(part, "row", "left")
-    known = known.withColumn("component", F.coalesce("component", "row"))
-    least = known.groupBy("component").agg(F.min("vec_id").alias("component_id"))
-    some = lambda c: F.when(F.col(c) != LAST, F.col(c))
-    return known.join(least, "component").select(
-        some("vec_id").alias("vec_id"),
+    # Written, so that the join of a large component is dealt by its own, splittable shuffle.
+    least = saved(known.where("component is not null").groupBy("component").agg(F.min("vec_id").alias("component_id")), "vector-firsts")
+    some = lambda c: F.when(c != LAST, c)
+    first_id = F.coalesce("component_id", "vec_id")
+    return known.join(least, "component", "left").select(
+        some(F.col("vec_id")).alias("vec_id"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
-        some("component_id").alias("component_id"),
-        (F.col("vec_id") == F.col("component_id")).alias("kept"),
+        some(first_id).alias("component_id"),
+        (F.col("vec_id") == first_id).alias("kept"),
     )

@@ -251,3 +251,24 @@ def least_between(x: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
         return x[:0]
     at = np.stack([starts, ends], 1).reshape(-1)
     return np.minimum.reduceat(np.append(x, x[-1:]), at)[::2]
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Tables of whole groups from rows that come sorted by the named columns."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = np.stack([batch.column(c).to_numpy() for c in names], 1)
+        differs = np.flatnonzero((keys[1:] != keys[:-1]).any(1))
+        cut = int(differs[-1]) + 1 if len(differs) else 0
+        if held and (cut or (keys[0] != last).any()):
+            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
+            held = []
+        elif cut:
+            yield pa.Table.from_batches([batch.slice(0, cut)])
+        held.append(batch.slice(cut))
+        last = keys[-1]
+    if held:
+        yield pa.Table.from_batches(held)

@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from lodestone.llm import kernels as K
 from lodestone.llm import repeats as R
 from lodestone.llm.common import parts_for, saved
-from lodestone.llm.graph import components
+from lodestone.llm.graph import Forest, components
 
 U = np.uint64
 LAST = (1 << 63) - 1
@@ -168,55 +168,15 @@ def buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def whole_groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
-    """Tables of whole groups from rows that come sorted by the named columns."""
-    held: list[pa.RecordBatch] = []
-    last = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        keys = np.stack([batch.column(c).to_numpy() for c in names], 1)
-        differs = np.flatnonzero((keys[1:] != keys[:-1]).any(1))
-        cut = int(differs[-1]) + 1 if len(differs) else 0
-        if held and (cut or (keys[0] != last).any()):
-            yield pa.Table.from_batches([*held, batch.slice(0, cut)])
-            held = []
-        elif cut:
-            yield pa.Table.from_batches([batch.slice(0, cut)])
-        held.append(batch.slice(cut))
-        last = keys[-1]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return 100 * np.minimum(a, b) >= 75 * np.maximum(a, b)
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges of a forest that connects what the edges (a, b) connect."""
-    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
-    x, y = at[: len(a)], at[len(a) :]
-    root = np.arange(len(nodes))
-    while len(x):
-        low = np.minimum(root[x], root[y])
-        np.minimum.at(root, root[x], low)
-        np.minimum.at(root, root[y], low)
-        root = root[root]
-        differ = root[x] != root[y]
-        x, y = x[differ], y[differ]
-    while (root[root] != root).any():
-        root = root[root]
-    some = np.flatnonzero(root != np.arange(len(root)))
-    return nodes[some], nodes[root[some]]
-
-
 def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of a partition's candidates: pairs of a bucket in different
     components that sizes and minhashes allow to be linked. Comparisons go by blocks."""
-    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    more, waiting = [], 0
-    for t in whole_groups(batches, ["bucket"]):
+    found = Forest()
+    for t in K.whole_groups(batches, ["bucket"]):
         bucket, cid, comp, n = (t.column(c).to_numpy() for c in ("bucket", "cid", "component", "n"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(cid), -1)
         for f, size in zip(*K.by_group(bucket), strict=True):
@@ -230,20 +190,14 @@ def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     u, v = p[j : j + (1 << 16)], q[j : j + (1 << 16)]
                     hit = (sig[u] == sig[v]).sum(1) >= AGREE
                     if hit.any():
-                        more.append((cid[u[hit]], cid[v[hit]]))
-                        waiting += len(more[-1][0])
-                if waiting > max(200_000, 2 * len(a)):
-                    a, b = spanning(np.concatenate([a, *[m[0] for m in more]]), np.concatenate([b, *[m[1] for m in more]]))
-                    more, waiting = [], 0
-    a, b = spanning(np.concatenate([a, *[m[0] for m in more]]), np.concatenate([b, *[m[1] for m in more]]))
-    for i in range(0, len(a), 100_000):
-        yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 100_000]), pa.array(b[i : i + 100_000])], ["a", "b"])
+                        found.add(cid[u[hit]], cid[v[hit]])
+    yield from found.batches()
 
 
 def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Links between components within a block of a candidate cluster, or between two: every
     allowed pair is tested on whole sets unless links found before connect it."""
-    for t in whole_groups(batches, ["cluster", "low", "high"]):
+    for t in K.whole_groups(batches, ["cluster", "low", "high"]):
         keys = np.stack([t.column(c).to_numpy() for c in ("cluster", "low", "high")], 1)
         cid, comp, n, block = (t.column(c).to_numpy() for c in ("cid", "component", "n", "block"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(cid), -1)

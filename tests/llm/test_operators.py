@@ -290,6 +290,21 @@ def test_pruned_trie(spark, rows):
     assert len(trie.slots[trie.slots > 0]) <= 100
 
 
+def linked(x, threshold=0.9):
+    """Plain link counts and least members of components of vectors."""
+    x = np.array(x, np.float64)
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(1))[1][:, None])
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    near_ = unit @ unit.T >= threshold
+    np.fill_diagonal(near_, False)
+    label = np.arange(len(x))
+    while True:
+        new = np.minimum(label, np.where(near_, label[None, :], len(x)).min(1, initial=len(x)))
+        if (new == label).all():
+            return near_.sum(1), label
+        label = new
+
+
 def test_embeddings(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(120, 8))
@@ -298,17 +313,50 @@ def test_embeddings(spark):
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
     odd = [(200, None, 0), (201, [], 0), (202, [0.0] * 8, 0), (203, [float("nan")] * 8, 0), (204, [None] * 8, 0), (205, [1.0, 2.0], 0), (206, [1.0, 2.0], 0), (207, [float("inf")] + [0.0] * 7, 0)]
     df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<double>, row int").repartition(3)
-    unit = x / np.linalg.norm(x, axis=1)[:, None]
-    near_ = unit @ unit.T >= 0.9
-    np.fill_diagonal(near_, False)
-    label = list(range(120))
-    for _ in range(120):
-        label = [min([label[i], *[label[j] for j in np.flatnonzero(near_[i])]]) for i in range(120)]
-    for block in (16,):
+    count, label = linked(x)
+    for block in (16, None):
         got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in embeddings.group(df, per_block=block).collect()}
-        assert all(got[i] == (near_[i].sum(), label[i], label[i] == i) for i in range(120))
+        assert all(got[i] == (count[i], label[i], label[i] == i) for i in range(120))
         assert all(got[i] == (0, i, True) for i in (200, 201, 202, 203, 204, 207)) and got[205] == (1, 205, True) and got[206] == (1, 205, False)
     assert embeddings.group(df.limit(0)).count() == 0
+    assert [tuple(r) for r in embeddings.group(df.where("vec_id = 202")).collect()] == [(202, 0, 202, True)]
+
+
+def test_embeddings_of_any_size(spark):
+    """Components whose squares over- or underflow, null and repeated ids."""
+    rows = [(1, [1e200, 1e200]), (2, [1e200, 1e200]), (3, [1e-200, 1e-200]), (4, [5e-324, 5e-324]), (5, [1.0, 1.0]), (6, [1.7e308, -1.7e308]), (None, [1.0, 1.01]), (5, [2.0, -2.0])]
+    got = sorted((r.vec_id or 99, r.n_links, r.component_id, r.kept) for r in embeddings.group(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 5, 1, True), (2, 5, 1, False), (3, 5, 1, False), (4, 5, 1, False), (5, 1, 5, True), (5, 5, 1, False), (6, 1, 5, False), (99, 5, 1, False)]
+
+
+def test_embeddings_of_many_alike(spark):
+    """Thousands of equal and almost equal vectors beside others, over many blocks: bounds settle
+    whole groups."""
+    rng = np.random.default_rng(11)
+    x = rng.normal(size=(4000, 16))
+    x[:1500] = x[0]
+    x[1500:3000] = x[1500] + rng.normal(size=(1500, 16)) * 0.01
+    x[3000:3300] = x[3000] + rng.normal(size=(300, 16)) * 0.3
+    order = rng.permutation(len(x))
+    df = spark.createDataFrame([(int(i), x[i].tolist()) for i in order], "vec_id long, embedding array<float>").repartition(5)
+    count, label = linked(x.astype(np.float32))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.group(df, per_block=50).collect()}
+    assert all(got[i] == (count[i], label[i]) for i in range(len(x)))
+
+
+def test_cover_tree():
+    rng = np.random.default_rng(12)
+    x = embeddings.unit(rng.normal(size=(20, 6))[rng.integers(0, 20, 3000)] + rng.normal(size=(3000, 6)) * rng.choice([0, 0.02, 0.2], 3000)[:, None])
+    tree = embeddings.CoverTree(x)
+    y = x[tree.order]
+    assert sorted(tree.order.tolist()) == list(range(3000)) and (tree.children > 0).sum() > 1
+    for i in range(len(tree.start)):
+        a, b = tree.start[i], tree.end[i]
+        assert embeddings.chord(y[a:b] @ y[a]).max() <= tree.radius[i] + 1e-6
+        if n := tree.children[i]:
+            kids = np.arange(tree.child[i], tree.child[i] + n)
+            assert tree.start[kids[0]] == a and tree.end[kids[-1]] == b and (tree.start[kids[1:]] == tree.end[kids[:-1]]).all()
+            assert tree.radius[kids].max() < tree.radius[i] + embeddings.slack(6)
 
 
 def reshared(sizes, weights, share, repeats):
