@@ -9,15 +9,19 @@ left are equal. A text is preceded by marks of its start and ends with one end s
 probabilities of texts sum to one. As no symbol is counted while scoring, exclusion
 depends on the context alone, and each node keeps its parent's totals without its symbols.
 
-`base_fit` and `score` also give the log10 probability by add-one word unigrams. Word counts meet
-their postings in shards, so no vocabulary is collected or broadcast.
-
-No n-gram is left out. The trie is dealt by the hash of a context's last NEAR bytes, so
-that each shard knows all contexts of that length and more that end so; what is shorter,
-at most 2^(8 NEAR) n-grams whatever the input, is broadcast. Texts are written in blocks;
-each block asks every shard once for its distinct n-grams, and the shards' answers meet the
-block again. `ppm_fit` makes the same trie in one piece, for models that fit one machine;
-there alone a caller may cut it to `max_nodes` n-grams of the longest kind.
+`score` also gives the log10 probability by add-one word unigrams. Words are dealt by hash;
+each block of texts asks once for its distinct words and gets their training counts back, so
+no vocabulary is collected or broadcast and a frequent word costs one entry a block.
+
+No n-gram is left out. Counts of the training texts are summed in shards, by the hash of a
+context's last NEAR bytes, so that a shard has all contexts of that length and more that end so;
+what is shorter, at most 2^(8 NEAR) n-grams whatever the input, is broadcast. Texts are written
+in blocks; each block asks every shard once for its distinct n-grams, and the answers meet the
+block again. A shard is asked in several places, each of which has its trie, as many as its
+occurrences in the training texts call for, so a frequent context is no hot spot; a place reads
+its trie first and then answers block by block, holding one. `ppm_fit` makes the same trie in
+one piece, for models that fit one machine; there alone a caller may cut it to `max_nodes`
+n-grams of the longest kind.
 
 A-Z are lower-cased. A null text is empty and has just its end. A null doc_id is an
 ordinary row; equal rows have equal scores; without training texts all bytes are equally
@@ -30,6 +34,7 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -37,17 +42,18 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import kernels as K
 from lodestone.llm import repeats as R
-from lodestone.llm.common import parts_for, saved
+from lodestone.llm.common import PARTS, dealt, parts_for, saved
 
 U = np.uint64
 MARK = 255  # start and end: no UTF-8 text has this byte
 END = 0x454E44  # hash of the end token
-FIXED = 2.0**36
 TALLY = 64
 NEAR = 3  # last bytes of a context by which the trie is dealt
+TRIE, ASKED, WORD = 0, 1, 2  # kinds of blocks, in the order in which a place needs them
+OCCURRENCES = 16 << 20  # of a shard's n-grams in the training texts, for which it is asked in one place
 TEXTS = "block long, blob binary"
 SCORED = "doc_id long, key long, score double"
-GRAMS_PA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("blob", pa.binary())])
+RESULT = "doc_id long, n_tokens long, n_known long, part double, score double"
 
 
 def padded(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,7 +67,7 @@ def padded(data: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarra
 
 def grams(text: np.ndarray, order: int) -> np.ndarray:
     """Number of each run of order + 1 bytes."""
-    n = len(text) - order
+    n = max(0, len(text) - order)
     c = np.zeros(n, U)
     for j in range(order + 1):
         c <<= U(8)
@@ -125,7 +131,7 @@ def sum_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tally = np.bincount(np.minimum(n, TALLY), minlength=TALLY + 1)
         for i in range(0, len(v), 1 << 18):
             blob = K.pack(v=v[i : i + (1 << 18)], n=n[i : i + (1 << 18)], tally=tally if not i else tally * 0)
-            yield R.to_batch([(0, 0, 0, blob)])
+            yield R.to_batch([(0, 0, 0, 0, blob)])
 
 
 def at_least(count: int) -> Callable:
@@ -134,7 +140,7 @@ def at_least(count: int) -> Callable:
             for blob in batch.column("blob"):
                 x = K.unpack(blob.as_py())
                 keep = x["n"] >= count
-                yield R.to_batch([(0, 0, 0, K.pack(v=x["v"][keep], n=x["n"][keep]))])
+                yield R.to_batch([(0, 0, 0, 0, K.pack(v=x["v"][keep], n=x["n"][keep]))])
 
     return run
 
@@ -144,7 +150,7 @@ def tallies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for blob in batch.column("blob"):
             total += K.unpack(blob.as_py())["tally"]
-    yield R.to_batch([(0, 0, 0, K.pack(tally=total))])
+    yield R.to_batch([(0, 0, 0, 0, K.pack(tally=total))])
 
 
 class Trie:
@@ -309,18 +315,18 @@ def text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, size = [], 0
 
     def flush():
-        data, sizes, key, doc, null, learn = (np.concatenate(x) for x in zip(*held, strict=True))
-        blob = K.pack(data=data, size=sizes, key=key, doc=doc, null=null, learn=learn)
+        data, sizes, doc, null, learn = (np.concatenate(x) for x in zip(*held, strict=True))
+        blob = K.pack(data=data, size=sizes, doc=doc, null=null, learn=learn)
         return pa.RecordBatch.from_arrays([pa.array([first + number]), pa.array([blob], pa.binary())], ["block", "blob"])
 
     for batch in batches:
         data, offsets = K.text_bytes(batch.column("text"))
         doc = batch.column("doc_id").cast(pa.int64())
         null = doc.is_null().to_numpy(zero_copy_only=False).astype(np.uint8)
-        doc, key = doc.fill_null(0).to_numpy(), batch.column("key").to_numpy()
+        doc = doc.fill_null(0).to_numpy()
         learn = batch.column("learn").to_numpy(zero_copy_only=False).astype(np.uint8)
         for a, b in K.chunks(offsets):
-            held.append((K.LOWER[data[offsets[a] : offsets[b]]], np.diff(offsets[a : b + 1]), key[a:b], doc[a:b], null[a:b], learn[a:b]))
+            held.append((K.LOWER[data[offsets[a] : offsets[b]]], np.diff(offsets[a : b + 1]), doc[a:b], null[a:b], learn[a:b]))
             size += int(offsets[b] - offsets[a]) + b - a
             if size >= R.FLUSH // 2:
                 yield flush()
@@ -329,10 +335,36 @@ def text_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush()
 
 
-def block_grams(x: dict[str, np.ndarray], order: int) -> tuple[np.ndarray, np.ndarray]:
-    """A block's n-grams, one for each symbol, and the number of each row's."""
-    text, begin = padded(x["data"], np.append(0, np.cumsum(x["size"])), order)
-    return grams(text, order)[K.ranges(begin, x["size"] + 1)], x["size"] + 1
+def blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, dict[str, np.ndarray]]]:
+    for batch in batches:
+        for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob"), strict=True):
+            yield block, K.unpack(blob.as_py())
+
+
+def block_grams(x: dict[str, np.ndarray], order: int, learned: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """A block's n-grams, one for each symbol, and the number of each row's; or those of its
+    training rows."""
+    data, size = x["data"], x["size"]
+    if learned:
+        some = x["learn"] > 0
+        if not some.all():
+            data, size = data[np.repeat(some, size)], size[some]
+    text, begin = padded(data, np.append(0, np.cumsum(size)), order)
+    return grams(text, order)[K.ranges(begin, size + 1)], size + 1
+
+
+def block_words(x: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a block's tokens, an end after each row's words, and the rows' numbers of them."""
+    offsets = np.append(0, np.cumsum(x["size"]))
+    hashes, sizes = [np.zeros(0, U)], [np.zeros(0, np.int64)]
+    for a, b in K.chunks(offsets):
+        w = K.Words(x["data"][offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        n = np.diff(w.rows)
+        out = np.full(len(w) + b - a, END, U)
+        out[np.arange(len(w)) + w.row_of()] = w.hashes()
+        hashes.append(out)
+        sizes.append(n + 1)
+    return np.concatenate(hashes), np.concatenate(sizes)
 
 
 def home(v: np.ndarray, order: int, shards: int) -> np.ndarray:
@@ -345,199 +377,193 @@ def count_low(order: int, shards: int) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums = Sums()
-        for batch in batches:
-            for blob in batch.column("blob"):
-                x = K.unpack(blob.as_py())
-                v, size = block_grams(x, order)
-                v = v[np.repeat(x["learn"] > 0, size)] & U((1 << 8 * min(order, NEAR)) - 1)
-                u, n = np.unique(v.astype(np.uint32), return_counts=True)
-                sums.add(u.astype(U), n)
+        for _, x in blocks_of(batches):
+            v, _ = block_grams(x, order, True)
+            u, n = np.unique((v & U((1 << 8 * min(order, NEAR)) - 1)).astype(np.uint32), return_counts=True)
+            sums.add(u.astype(U), n)
         v, n = sums.merged()
         if len(v):
-            yield R.to_batch(R.emit(R.shard_of(v, shards), R.PROBES, lambda i: K.pack(v=v[i], n=n[i]), shards))
+            yield R.to_batch(R.emit(R.shard_of(v, shards), TRIE, lambda i: K.pack(v=v[i], n=n[i]), shards))
 
     return run
 
 
-def ask(order: int, shards: int) -> Callable:
-    """Map stage: each block's distinct n-grams by shard, with their training counts."""
+def count_learned(order: int, shards: int) -> Callable:
+    """Map stage: counts of the training texts' n-grams by shard, of several blocks together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block, blob in zip(batch.column("block").to_pylist(), batch.column("blob"), strict=True):
-                x = K.unpack(blob.as_py())
-                v, size = block_grams(x, order)
-                u = np.unique(v)
-                learned, times = np.unique(v[np.repeat(x["learn"] > 0, size)], return_counts=True)
-                n = np.zeros(len(u), np.uint32)
-                n[np.searchsorted(u, learned)] = times
-                rows = R.emit(home(u, order, shards), R.PROBES, lambda i, u=u, n=n: K.pack(v=u[i], n=n[i]), shards)
-                yield R.to_batch([(s, kind, block, packed) for s, kind, _, packed in rows])
+        sums = Sums()
+
+        def flush():
+            v, n = sums.merged()
+            if len(v):
+                yield R.to_batch(R.emit(home(v, order, shards), TRIE, lambda i: K.pack(v=np.diff(v[i], prepend=U(0)), n=n[i].astype(np.uint32)), shards))
+
+        for _, x in blocks_of(batches):
+            u, n = np.unique(block_grams(x, order, True)[0], return_counts=True)
+            sums.add(u, n)
+            if len(sums.v) + sums.waiting > 4 << 20:
+                yield from flush()
+                sums = Sums()
+        yield from flush()
+
+    return run
+
+
+def sum_learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reduce stage: a shard's n-grams with their counts; `doc` tells their occurrences."""
+    sums, shard = Sums(), 0
+    for batch in batches:
+        shard = batch.column("shard")[0].as_py()
+        for blob in batch.column("blob"):
+            x = K.unpack(blob.as_py())
+            sums.add(np.cumsum(x["v"]), x["n"])
+    v, n = sums.merged()
+    for i in range(0, len(v), 1 << 18):
+        part = slice(i, i + (1 << 18))
+        yield R.to_batch([(shard, TRIE, int(n[part].sum()), 0, K.pack(v=np.diff(v[part], prepend=U(0)), n=n[part]))])
+
+
+def ask(order: int, shards: int, first, count) -> Callable:
+    """Map stage: each block's distinct n-grams by place; the places of shard s are count[s]
+    from first[s]."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        base, many = first.value, count.value
+        for block, x in blocks_of(batches):
+            u = np.unique(block_grams(x, order)[0])
+            rows = R.emit(home(u, order, shards), ASKED, lambda i, u=u: K.pack(v=np.diff(u[i], prepend=U(0))), shards)
+            mine = int(K.mix(np.array([block], U))[0] >> U(1))
+            yield R.to_batch([(int(base[s]) + mine % int(many[s]), kind, s, block, blob) for s, kind, _, _, blob in rows])
 
     return run
 
 
 def answer(order: int, low) -> Callable:
-    """Reduce stage: a shard's trie of all its n-grams, and what each block asked of it."""
+    """Reduce stage: a place's trie, which comes first, and what each block asked of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, sums = [], Sums()
+        vs, ns, trie = [np.zeros(0, U)], [np.zeros(0, np.int64)], None
         for batch in batches:
-            for shard, block, blob in zip(batch.column("shard").to_pylist(), batch.column("key").to_pylist(), batch.column("blob"), strict=True):
-                asked.append((shard, block, blob.as_py()))
-                x = K.unpack(asked[-1][2])
-                sums.add(x["v"][x["n"] > 0], x["n"][x["n"] > 0])
-        if not asked:
-            return
-        trie = Trie(order, *sums.merged(), low.value)
-        del sums
-        for i in range(0, len(asked), 16):
-            yield R.to_batch([(s, R.DIRECT, block, K.pack(value=trie.log10(K.unpack(blob)["v"]).astype(np.float32))) for s, block, blob in asked[i : i + 16]])
+            for kind, shard, block, blob in zip(*(batch.column(c).to_pylist() for c in ("kind", "doc", "key")), batch.column("blob"), strict=True):
+                x = K.unpack(blob.as_py())
+                v = np.cumsum(x["v"])
+                if kind == TRIE:
+                    vs.append(v)
+                    ns.append(x["n"])
+                    continue
+                if trie is None:
+                    trie = Trie(order, np.concatenate(vs), np.concatenate(ns), low.value)
+                    vs = ns = None
+                yield R.to_batch([(0, ASKED, shard, block, K.pack(value=trie.log10(v).astype(np.float32)))])
+
+    return R.by_shard(run)
+
+
+def ask_words(shards: int) -> Callable:
+    """Map stage: each block's distinct tokens by shard, with their training counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, x in blocks_of(batches):
+            v, size = block_words(x)
+            u, at = np.unique(v, return_inverse=True)
+            n = np.bincount(at[np.repeat(x["learn"] > 0, size)], minlength=len(u))
+            rows = R.emit(R.shard_of(u, shards), WORD, lambda i, u=u, n=n: K.pack(v=u[i], n=n[i].astype(np.uint32)), shards)
+            if rows:
+                yield R.to_batch([(s, kind, s, block, blob) for s, kind, _, _, blob in rows])
 
     return run
 
 
-def settle(order: int, shards: int) -> Callable:
+def answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reduce stage: training counts of each block's tokens, and the shard's totals (kind TRIE)."""
+    asked, sums = [], Sums()
+    for batch in batches:
+        for shard, block, blob in zip(*(batch.column(c).to_pylist() for c in ("doc", "key")), batch.column("blob"), strict=True):
+            asked.append((shard, block, blob.as_py()))
+            x = K.unpack(asked[-1][2])
+            sums.add(x["v"], x["n"])
+    v, n = sums.merged()
+    yield R.to_batch([(0, TRIE, int(n.sum()), int((n > 0).sum()), b"")])
+    for shard, block, blob in asked:
+        yield R.to_batch([(0, WORD, shard, block, K.pack(value=n[np.searchsorted(v, K.unpack(blob)["v"])]))])
+
+
+def settle(order: int, shards: int, word_shards: int) -> Callable:
     """A block's rows with their scores, from its texts and all shards' answers."""
 
+    def spread(u: np.ndarray, shard: np.ndarray, answers: dict[int, np.ndarray]) -> np.ndarray:
+        members = np.argsort(shard, kind="stable")
+        first, n = K.by_group(shard[members])
+        if len(first) != len(answers):
+            raise ValueError(f"{len(answers)} answers of {len(first)} shards")
+        value = np.zeros(len(u))
+        for a, m in zip(first, n, strict=True):
+            value[members[a : a + m]] = answers[int(shard[members[a]])]
+        return value
+
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         x = K.unpack(block.column("blob")[0].as_py())
+        got: dict[int, dict] = {ASKED: {}, WORD: {}}
+        for kind, s, blob in zip(*(answers.column(c).to_pylist() for c in ("kind", "doc")), answers.column("blob"), strict=True):
+            got[kind][s] = K.unpack(blob.as_py())["value"]
         v, size = block_grams(x, order)
         u, back = np.unique(v, return_inverse=True)
-        shard = home(u, order, shards)
-        members = np.argsort(shard, kind="stable")
-        first, n = K.by_group(shard[members])
-        place = {int(shard[members[a]]): members[a : a + m] for a, m in zip(first, n, strict=True)}
-        if len(place) != answers.num_rows:
-            raise ValueError(f"{answers.num_rows} answers of {len(place)} shards")
-        value = np.zeros(len(u))
-        for s, blob in zip(answers.column("shard").to_pylist(), answers.column("blob"), strict=True):
-            value[place[s]] = K.unpack(blob.as_py())["value"]
-        scores = np.add.reduceat(value[back], np.cumsum(size) - size)
-        return pa.table({"doc_id": pa.array(x["doc"], mask=x["null"] > 0), "key": pa.array(x["key"]), "score": pa.array(scores)})
+        scores = np.add.reduceat(spread(u, home(u, order, shards), got[ASKED])[back], np.cumsum(size) - size)
+        v, size = block_words(x)
+        u, back = np.unique(v, return_inverse=True)
+        count = spread(u, R.shard_of(u, word_shards), got[WORD])[back]
+        at = np.cumsum(size) - size
+        return pa.table({
+            "doc_id": pa.array(x["doc"], mask=x["null"] > 0), "n_tokens": pa.array(size), "n_known": pa.array(np.add.reduceat((count > 0).astype(np.int64), at)),
+            "part": pa.array(np.add.reduceat(np.log10(count + 1.0), at)), "score": pa.array(scores),
+        })
 
     return run
 
 
-def ppm(docs: DataFrame, order: int = 5) -> DataFrame:
-    """(doc_id, key, score) for each keyed row: log10 probability of its text by the n-grams
-    of all rows whose `learn` holds."""
-    shards = parts_for(docs, 32)
-    texts = saved(docs.select("doc_id", "key", "text", "learn").mapInArrow(text_blocks, TEXTS), "ppm-texts")
+def score(docs: DataFrame, learn, order: int = 5) -> DataFrame:
+    """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of docs
+    (doc_id, text), learning from those where the column `learn` holds."""
+    spark = docs.sparkSession
+    flagged = docs.select("doc_id", "text", F.coalesce(learn, F.lit(False)).alias("learn"))
+    shards, word_shards = parts_for(docs, 32), parts_for(docs, 256)
+    texts = saved(flagged.mapInArrow(text_blocks, TEXTS), "ppm-texts")
+
+    words = dealt(texts.mapInArrow(ask_words(word_shards), R.BLOCK), word_shards).mapInArrow(R.by_shard(answer_words), R.BLOCK)
+    words = saved(words, "base-answers")
+    whole = words.where(F.col("kind") == TRIE).agg(F.sum("doc"), F.sum("key")).first()
+    n, v = whole[0] or 0, whole[1] or 0
+
     parts = texts.mapInArrow(count_low(order, 8), R.BLOCK).repartitionById(8, F.col("shard")).mapInArrow(sum_counts, R.BLOCK)
     sums = Sums()
     for r in parts.select("blob").collect():
         x = K.unpack(bytes(r.blob))
         sums.add(x["v"], x["n"])
-    low = docs.sparkSession.sparkContext.broadcast(sums.merged())
-    asked = texts.mapInArrow(ask(order, shards), R.BLOCK).repartitionById(shards, F.col("shard"))
-    answers = asked.mapInArrow(answer(order, low), R.BLOCK).select("shard", F.col("key").alias("block"), "blob")
-    return texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(settle(order, shards), SCORED)
-
-
-def postings(shards: int) -> Callable:
-    """Map stage: distinct words by shard, with their training counts and their rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, keys, n_rows, size = [], [], 0, 0
-
-        def flush():
-            word, row, learn = (np.concatenate(x) for x in zip(*held, strict=True))
-            key = np.concatenate(keys)
-            u, at = np.unique(word, return_inverse=True)
-            trained = np.bincount(at[learn], minlength=len(u)).astype(np.int64)
-            post, times = np.unique(at * len(key) + row, return_counts=True)
-            of = post // len(key)
-            n = np.bincount(of, minlength=len(u))
-            first = np.cumsum(n) - n
-            rows, times = (post % len(key)).astype(np.uint16), times.astype(np.uint32)
-
-            def make(i):
-                p = K.ranges(first[i], n[i])
-                return K.pack(word=u[i], trained=trained[i], n=n[i].astype(np.uint32), row=rows[p], times=times[p], key=key)
-
-            yield R.to_batch(R.emit(R.shard_of(u, shards), R.PROBES, make, shards))
-
-        for batch in batches:
-            data, offsets = K.text_bytes(batch.column("text"))
-            ids, learn = batch.column("key").to_numpy(), batch.column("learn").to_numpy(zero_copy_only=False).astype(bool)
-            for a, b in K.chunks(offsets):
-                for c in range(a, b, 4096):
-                    e = min(b, c + 4096)
-                    w = K.Words(K.LOWER[data[offsets[c] : offsets[e]]], offsets[c : e + 1] - offsets[c])
-                    row = np.concatenate((w.row_of(), np.arange(e - c)))
-                    held.append((np.concatenate((w.hashes(), np.full(e - c, END, U))), row + n_rows, learn[c:e][row]))
-                    keys.append(ids[c:e])
-                    n_rows += e - c
-                    size += int(offsets[e] - offsets[c])
-                    if size >= R.FLUSH or n_rows > 60_000:
-                        yield from flush()
-                        held, keys, n_rows, size = [], [], 0, 0
-        if held:
-            yield from flush()
-
-    return run
-
-
-BASE = "key long, part long, known long, tokens long, rows long, total long, kinds long"
-
-
-def shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Reduce stage: each row's sums over a shard's words, and the shard's totals (null key)."""
-    blobs = [blob.as_py() for batch in batches for blob in batch.column("blob")]
-    if not blobs:
-        return
-    words, trained = [], []
-    for blob in blobs:
-        x = K.unpack(blob)
-        words.append(x["word"])
-        trained.append(x["trained"])
-    u, at = np.unique(np.concatenate(words), return_inverse=True)
-    count = np.bincount(at, np.concatenate(trained), len(u)).astype(np.int64)
-    names = [f.split()[0] for f in BASE.split(", ")]
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([None], pa.int64()), *[pa.array([0])] * 4, pa.array([int(count.sum())]), pa.array([int((count > 0).sum())])], names
-    )
-    done = 0
-    for blob in blobs:
-        x = K.unpack(blob)
-        c = count[at[done : done + len(x["word"])]]
-        done += len(x["word"])
-        each, times, row, n = np.log10(c + 1.0), x["times"].astype(np.int64), x["row"].astype(np.int64), len(x["key"])
-        of = np.repeat(np.arange(len(c)), x["n"])
-        total = np.bincount(row, times, n)
-        some = np.flatnonzero(total > 0)
-        part = np.rint(np.bincount(row, times * each[of], n)[some] * FIXED).astype(np.int64)
-        known = np.bincount(row, times * (c > 0)[of], n)[some].astype(np.int64)
-        ends = np.bincount(row, times * (x["word"] == END)[of], n)[some].astype(np.int64)
-        zero = pa.array(np.zeros(len(some), np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(x["key"][some]), pa.array(part), pa.array(known), pa.array(total[some].astype(np.int64)), pa.array(ends), zero, zero], names)
-
-
-def score(docs: DataFrame, learn, order: int = 5) -> DataFrame:
-    """(doc_id, key, n_tokens, n_known, train_tokens, base_score, score) for every row of
-    docs (doc_id, text), learning from those where the column `learn` holds."""
-    flagged = R.keyed(docs).withColumn("learn", F.coalesce(learn, F.lit(False)))
-    shards = parts_for(docs, 64)
-    blocks = flagged.select("key", "text", "learn").mapInArrow(postings(shards), R.BLOCK)
-    parts = saved(blocks.repartitionById(shards, F.col("shard")).mapInArrow(shares, BASE), "base-shares")
-    whole = parts.where("key is null").agg(F.sum("total"), F.sum("kinds")).first()
-    n, v = whole[0] or 0, whole[1] or 0
-    base = (
-        parts.where("key is not null")
-        .groupBy("key")
-        .agg(*[F.sum(c).alias(c) for c in ("part", "known", "tokens", "rows")])
-        .select("key", *[F.expr(f"{c} div rows").alias(c) for c in ("part", "known", "tokens")])
+    low = spark.sparkContext.broadcast(sums.merged())
+
+    counts = saved(dealt(texts.mapInArrow(count_learned(order, shards), R.BLOCK), shards).mapInArrow(R.by_shard(sum_learned), R.BLOCK), "ppm-counts")
+    times = {r.shard: r.n for r in counts.groupBy("shard").agg(F.sum("doc").alias("n")).collect()}
+    many = np.array([1 + times.get(s, 0) // OCCURRENCES for s in range(shards)], np.int32)
+    base = np.cumsum(many) - many
+    places = int(many.sum())
+    first, count = spark.sparkContext.broadcast(base), spark.sparkContext.broadcast(many)
+    where = spark.createDataFrame(pd.DataFrame({"shard": np.arange(shards), "first": base, "many": many}), "shard int, first int, many int")
+    tries = counts.join(where, "shard").select(
+        F.explode(F.sequence("first", F.col("first") + F.col("many") - 1)).alias("shard"), "kind", F.col("shard").cast("long").alias("doc"), "key", "blob"
     )
-    scored = ppm(flagged, order)
-    per = math.log10(n + v + 1)
-    return scored.join(base, "key").select(
+    asked = tries.unionByName(texts.mapInArrow(ask(order, shards, first, count), R.BLOCK))
+    parts = min(places, PARTS)
+    asked = asked.repartitionById(parts, F.pmod(F.col("shard"), F.lit(parts)).cast("int")).sortWithinPartitions("shard", "kind")
+    answers = asked.mapInArrow(answer(order, low), R.BLOCK).unionByName(words.where(F.col("kind") == WORD))
+    answers = answers.select("kind", "doc", F.col("key").alias("block"), "blob")
+    scored = texts.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(settle(order, shards, word_shards), RESULT)
+    return scored.select(
         "doc_id",
-        "key",
-        F.col("tokens").alias("n_tokens"),
-        F.col("known").alias("n_known"),
+        "n_tokens",
+        "n_known",
         F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("part") / F.lit(FIXED) - F.col("tokens") * F.lit(per)).alias("base_score"),
+        (F.col("part") - F.col("n_tokens") * F.lit(math.log10(n + v + 1))).alias("base_score"),
         "score",
     )
 
