@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from lodestone.session import shared_dir
 
+#: Most partitions of a shuffle.
+PARTS = 20_000
 WORDS = r"[^\x20\x09-\x0D]+"
 
 
@@ -27,8 +29,16 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def parts_for(df: DataFrame, mb: float, least: int = 8) -> int:
-    """So many partitions that each stands for about this much input."""
-    return max(least, min(100_000, math.ceil(estimated_bytes(df) / (mb * 1e6))))
+    """So many shards that each stands for about this much input."""
+    return max(least, math.ceil(estimated_bytes(df) / (mb * 1e6)))
+
+
+def dealt(blocks: DataFrame, shards: int) -> DataFrame:
+    """Rows by their column `shard`; a partition has several shards, one after another, where
+    there are more than PARTS."""
+    parts = min(shards, PARTS)
+    out = blocks.repartitionById(parts, F.pmod(F.col("shard"), F.lit(parts)).cast("int"))
+    return out.sortWithinPartitions("shard") if shards > parts else out
 
 
 def fold(doc_id: str = "doc_id") -> Column:

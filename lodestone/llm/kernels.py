@@ -32,6 +32,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 BYTE_VALUES = splitmix(256, 12345)
+#: A random value for each byte at each of the first places of a word or string.
+PLACES = 64
+SPOTS = tuple(splitmix(PLACES * 256, seed) for seed in (4711, 8086))
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[32, *range(9, 14)]] = True
 LOWER = np.arange(256, dtype=np.uint8)
@@ -75,6 +78,34 @@ class Powers:
 POLY_A, POLY_B = Powers(0x9E3779B97F4A7C15), Powers(0xD1342543DE82EF95)
 
 
+def spot_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, both: bool = False) -> tuple[np.ndarray, ...]:
+    """Hash of each string data[start:start + length], or two independent ones.
+
+    Every pair of byte and place has a random value of its own and a hash is the sum of these,
+    so no pattern of repeated bytes makes different strings collide, as polynomials modulo a
+    power of two allow.
+    """
+    lengths = np.asarray(lengths, np.int64)
+    out = []
+    full = np.flatnonzero(lengths > 0)
+    first = (np.cumsum(lengths) - lengths)[full]
+    at = ranges(starts, lengths)
+    place = np.arange(len(at)) - np.repeat(first, lengths[full])
+    byte = data[at]
+    far = np.flatnonzero(place >= PLACES)
+    spot = np.minimum(place, PLACES - 1) * 256 + byte
+    for table, salt in zip(SPOTS[: 2 if both else 1], (0x9E6C63D0876A9A63, 0xB5AD4ECEDA1CE2A9), strict=False):
+        value = table[spot]
+        if len(far):
+            with np.errstate(over="ignore"):
+                value[far] = mix(BYTE_VALUES[byte[far]] ^ (place[far].astype(U) * U(salt)))
+        h = np.zeros(len(lengths), U)
+        if len(full):
+            h[full] = np.add.reduceat(value, first)
+        out.append(mix(h + lengths.astype(U)))
+    return tuple(out)
+
+
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The bytes of all rows after one another, and len + 1 offsets; null is empty."""
     if isinstance(column, pa.ChunkedArray):
@@ -121,9 +152,11 @@ class Words:
         return len(self.starts)
 
     def hashes(self) -> np.ndarray:
-        prefix = POLY_A.prefix(BYTE_VALUES[self.data])
-        raw = POLY_A.between(prefix, self.starts, self.ends)
-        return mix(raw + (self.ends - self.starts).astype(U))
+        return spot_hashes(self.data, self.starts, self.ends - self.starts)[0]
+
+    def both_hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two independent hashes of each word."""
+        return spot_hashes(self.data, self.starts, self.ends - self.starts, True)
 
     def row_of(self) -> np.ndarray:
         """The row of each word."""
@@ -209,10 +242,10 @@ def by_group(group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return first, np.diff(np.append(first, len(group)))
 
 
-CODEC = pa.Codec("zstd", 1)
+CODECS = {level: pa.Codec("zstd", level) for level in (1, 3)}
 
 
-def pack(**arrays: np.ndarray) -> bytes:
+def pack(level: int = 1, /, **arrays: np.ndarray) -> bytes:
     """Named arrays as one compressed value; unpack() gives them back.
 
     Bytes of equal weight stand together, so that high bytes of small numbers vanish.
@@ -225,11 +258,11 @@ def pack(**arrays: np.ndarray) -> bytes:
         body.append(np.ascontiguousarray(planes).tobytes())
     text = ",".join(head).encode()
     raw = len(text).to_bytes(4, "little") + text + b"".join(body)
-    return len(raw).to_bytes(8, "little") + CODEC.compress(raw, asbytes=True)
+    return len(raw).to_bytes(8, "little") + CODECS[level].compress(raw, asbytes=True)
 
 
 def unpack(blob: bytes) -> dict[str, np.ndarray]:
-    raw = CODEC.decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
+    raw = CODECS[1].decompress(blob[8:], int.from_bytes(blob[:8], "little"), asbytes=True)
     size = int.from_bytes(raw[:4], "little")
     out, at = {}, 4 + size
     for part in raw[4:at].decode().split(","):

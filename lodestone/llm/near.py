@@ -11,6 +11,10 @@ such pair that links found before don't connect is verified where its sets meet.
 100 * intersection >= 75 * union of the whole sets. At the threshold itself a link shares
 no table, or too few minhashes, with probability about 1e-4; above it, much less.
 
+Within a cluster the members of its largest component never meet each other: the rest, in blocks
+of per_block, meets it and itself, so copies of sets grow with the blocks of the rest alone.
+A shingle is known by a 64-bit hash, a document's whole set by two sums of independent ones.
+
 Null and blank texts have empty sets and link with nothing. A null doc_id comes after all
 others and gives a null component unless a document with an id is linked. Of a group the
 row of least doc_id, then least hash of doc_id and text, is kept; rows equal in both are
@@ -28,11 +32,11 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import kernels as K
 from lodestone.llm import repeats as R
-from lodestone.llm.common import parts_for, saved
+from lodestone.llm.common import PARTS, dealt, parts_for, saved
 from lodestone.llm.graph import Forest, components
 
 U = np.uint64
-LAST = (1 << 63) - 1
+LAST = R.LAST
 M, RANGE = 12, 2
 #: Of the 2 * M * RANGE minhashes, so many agree in all but 1e-5 of pairs at 0.75.
 AGREE = 22
@@ -85,7 +89,7 @@ def signatures(width: int) -> Callable:
                 continue
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("key"), batch.column("doc_id").fill_null(LAST), pa.array(z(n)), pa.array(z(f1).view(np.int64)), pa.array(z(f2).view(np.int64)),
+                    batch.column("key"), batch.column("doc"), pa.array(z(n)), pa.array(z(f1).view(np.int64)), pa.array(z(f2).view(np.int64)),
                     K.binaries(z(sig).reshape(-1), np.full(batch.num_rows, n_hash)),
                 ],
                 ["key", "doc", "n", "f1", "f2", "sig"],
@@ -115,7 +119,13 @@ def spread(shards: int) -> Callable:
                 keys = table_keys(np.frombuffer(b"".join(part.column("sig").to_pylist()), np.uint32).reshape(len(cid), -1))
                 at = np.repeat(np.arange(len(cid), dtype=np.uint16), keys.shape[1])
                 flat = keys.reshape(-1)
-                yield R.to_batch(R.emit(R.shard_of(flat, shards), R.PROBES, lambda i: K.pack(key=flat[i], at=at[i], cid=cid), shards))
+
+                def make(i):
+                    # of the classes only those that the shard gets keys of
+                    some, place = np.unique(at[i], return_inverse=True)
+                    return K.pack(key=flat[i], at=place.astype(np.uint16), cid=cid[some])
+
+                yield R.to_batch(R.emit(R.shard_of(flat, shards), R.PROBES, make, shards))
 
     return run
 
@@ -174,23 +184,29 @@ def sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A spanning forest of a partition's candidates: pairs of a bucket in different
-    components that sizes and minhashes allow to be linked. Comparisons go by blocks."""
+    components that sizes and minhashes allow to be linked. Members of the bucket's largest
+    component are compared with the others only."""
     found = Forest()
     for t in K.whole_groups(batches, ["bucket"]):
         bucket, cid, comp, n = (t.column(c).to_numpy() for c in ("bucket", "cid", "component", "n"))
         sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), np.uint32).reshape(len(cid), -1)
         for f, size in zip(*K.by_group(bucket), strict=True):
-            for i in range(f, f + size, 64):
-                x, y = slice(i, min(i + 64, f + size)), slice(i, f + size)
-                p, q = np.nonzero((comp[x, None] != comp[None, y]) & sizes_allow(n[x, None], n[None, y]))
-                p, q = p + i, q + i
-                keep = q > p
-                p, q = p[keep], q[keep]
-                for j in range(0, len(p), 1 << 16):
-                    u, v = p[j : j + (1 << 16)], q[j : j + (1 << 16)]
-                    hit = (sig[u] == sig[v]).sum(1) >= AGREE
-                    if hit.any():
-                        found.add(cid[u[hit]], cid[v[hit]])
+            _, label, times = np.unique(comp[f : f + size], return_inverse=True, return_counts=True)
+            # the largest component last: those before it meet it, it doesn't meet itself
+            order = f + np.argsort(label == times.argmax(), kind="stable")
+            rest = int(size - times.max())
+            for i in range(0, rest, 64):
+                x = order[i : min(i + 64, rest)]
+                for j in range(i, int(size), 1 << 14):
+                    y = order[j : j + (1 << 14)]
+                    p, q = np.nonzero((comp[x, None] != comp[None, y]) & sizes_allow(n[x, None], n[None, y]))
+                    keep = q + j > p + i
+                    u, v = x[p[keep]], y[q[keep]]
+                    for s in range(0, len(u), 1 << 16):
+                        g, h = u[s : s + (1 << 16)], v[s : s + (1 << 16)]
+                        hit = (sig[g] == sig[h]).sum(1) >= AGREE
+                        if hit.any():
+                            found.add(cid[g[hit]], cid[h[hit]])
     yield from found.batches()
 
 
@@ -260,14 +276,14 @@ def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def sets_of(wanted: DataFrame, docs: DataFrame, width: int) -> DataFrame:
-    """(cid, items): whole sets of classes (cid, key), from the texts again."""
-    texts = docs.join(wanted.hint("shuffle_hash"), "key").select("cid", "text")
+    """(cid, items): whole sets of classes (cid, doc, key), from the texts again."""
+    texts = docs.join(wanted.hint("shuffle_hash"), ["doc", "key"]).select("cid", "text")
     return texts.mapInArrow(full_sets(width), "cid long, items binary").dropDuplicates(["cid"])
 
 
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int) -> DataFrame:
     """Of pairs (a, b) of classes, those that are links."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "key"), "cid")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct().join(classes.select("cid", "doc", "key"), "cid")
     sets = saved(sets_of(wanted, docs, width), "near-sets")
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("x")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
@@ -275,41 +291,53 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int)
 
 
 def settled(forest: DataFrame, placed: DataFrame, classes: DataFrame, docs: DataFrame, width: int, shards: int, per_block: int) -> DataFrame:
-    """Links of candidate clusters, the components of the forest. Clusters of more than
-    per_block members are cut into blocks; every pair of blocks is a task of its own, so no
-    task holds more than two."""
-    clusters = saved(components(forest, "near-forest").withColumnsRenamed({"node": "cid", "component": "cluster"}), "near-clusters")
-    sets = sets_of(clusters.join(classes.select("cid", "key"), "cid").select("cid", "key"), docs, width)
-    blocks = F.ceil(F.col("members") / F.lit(per_block)).cast("int")
-    sized = clusters.join(clusters.groupBy("cluster").agg(F.count("*").alias("members")), "cluster").where("members > 1")
+    """Links of candidate clusters, the components of the forest. Members of a cluster's largest
+    component and the rest are cut into blocks of per_block, -1, -2, ... and 0, 1, ...; each two
+    blocks of which one at least is of the rest are a task of their own."""
+    clusters = components(forest, "near-forest").withColumnsRenamed({"node": "cid", "component": "cluster"})
+    known = saved(clusters.join(placed, "cid", "left").select("cluster", "cid", F.coalesce("component", "cid").alias("component")), "near-clusters")
+    per = known.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    sized = per.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), F.count("*").alias("kinds"))
+    cut = lambda n: F.ceil(n / F.lit(per_block)).cast("int")
+    sized = saved(
+        sized.where("kinds > 1").select("cluster", F.col("main.component").alias("main"), cut(F.col("main.n")).alias("mains"), cut(F.col("members") - F.col("main.n")).alias("rests")),
+        "near-clusters",
+    )
+    sets = sets_of(known.join(sized.select("cluster"), "cluster", "left_semi").join(classes.select("cid", "doc", "key"), "cid").select("cid", "doc", "key"), docs, width)
+    numbers = lambda first, last: F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
+    is_main = F.col("component") == F.col("main")
+    hashed = lambda n: F.pmod(F.xxhash64("cid"), n).cast("int")
+    rest_blocks = numbers(F.lit(0), F.col("rests") - 1)
     rows = (
-        sized.join(placed, "cid", "left")
-        .select("cluster", "cid", F.coalesce("component", "cid").alias("component"), blocks.alias("blocks"))
-        .withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+        known.join(sized, "cluster")
+        .withColumn("block", F.when(is_main, -1 - hashed(F.col("mains"))).otherwise(hashed(F.col("rests"))))
+        .withColumn("others", F.when(is_main, rest_blocks).otherwise(F.concat(rest_blocks, F.sequence(-F.col("mains"), F.lit(-1)))))
         .join(classes.select("cid", "n", "sig"), "cid")
         .join(sets, "cid")
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        .withColumn("other", F.explode("others"))
         .select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "component", "n", "sig", "items")
     )
-    dealt = rows.repartition(shards, "cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "cid")
-    return saved(dealt.mapInArrow(settle, "a long, b long"), "near-links")
+    dealt_ = rows.repartition(shards, "cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "cid")
+    return saved(dealt_.mapInArrow(settle, "a long, b long"), "near-links")
 
 
-def group(docs: DataFrame, width: int = 5, per_block: int = 1024) -> DataFrame:
-    """(doc_id, key, n_shingles, component_id, kept) for every row of docs (doc_id, text)."""
+def group(docs: DataFrame, width: int = 5, per_block: int = 512) -> DataFrame:
+    """(doc_id, doc, key, n_shingles, component_id, kept) for every row of docs (doc_id, text);
+    doc and key as R.keyed gives them."""
     docs = R.keyed(docs)
     sigs = saved(
-        docs.mapInArrow(signatures(width), "key long, doc long, n long, f1 long, f2 long, sig binary"), "near-signatures"
+        docs.select("doc", "key", "text").mapInArrow(signatures(width), "key long, doc long, n long, f1 long, f2 long, sig binary"), "near-signatures"
     )
     classes = saved(
         sigs.where("n > 0").groupBy("f1", "f2").agg(
             F.min(F.struct("doc", "key")).alias("least"), F.first("n").alias("n"), F.first("sig").alias("sig")
-        ).select("f1", "f2", "n", "sig", "least", F.col("least.key").alias("key"), F.monotonically_increasing_id().alias("cid")),
+        ).select("f1", "f2", "n", "sig", "least", F.col("least.doc").alias("doc"), F.col("least.key").alias("key"), F.monotonically_increasing_id().alias("cid")),
         "near-classes",
     )
     shards = parts_for(docs, 40)
+    parts = min(shards, PARTS)
     blocks = classes.select("cid", "sig").mapInArrow(spread(shards), R.BLOCK)
-    found = saved(blocks.repartitionById(shards, F.col("shard")).mapInArrow(buckets, PAIRS), "near-buckets")
+    found = saved(dealt(blocks, shards).mapInArrow(R.by_shard(buckets), PAIRS), "near-buckets")
 
     best = found.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n"))
     best = best.groupBy("a").agg(F.max(F.struct("n", -F.col("b"))).alias("x")).select("a", (-F.col("x.col2")).alias("b"))
@@ -322,22 +350,23 @@ def group(docs: DataFrame, width: int = 5, per_block: int = 1024) -> DataFrame:
     open_ = placed.join(mixed.select("bucket"), "bucket").join(classes.select("cid", "n", "sig"), "cid")
     forest = (
         open_.select("bucket", "cid", "component", "n", "sig")
-        .repartitionById(shards, F.pmod("bucket", F.lit(shards)).cast("int"))
+        .repartition(parts, "bucket")
         .sortWithinPartitions("bucket", "cid")
         .mapInArrow(apart, "a long, b long")
     )
-    links = links.unionByName(settled(forest, part, classes, docs, width, shards, per_block))
+    links = links.unionByName(settled(forest, part, classes, docs, width, parts, per_block))
     part = components(links, "near-components").withColumnRenamed("node", "cid")
 
     owner = classes.select("f1", "f2", "cid", "least").join(part, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    firsts = owner.groupBy("component").agg(F.min("least").alias("first"))
+    # Written, so that the join of a large component is dealt by its own, splittable shuffle.
+    firsts = saved(owner.groupBy("component").agg(F.min("least").alias("first")), "near-firsts")
     ids = owner.join(firsts, "component").select("f1", "f2", "first")
     out = sigs.select("key", "doc", "n", "f1", "f2").join(ids, ["f1", "f2"], "left")
     own = F.struct("doc", "key")
     out = out.withColumn("first", F.when(F.col("n") > 0, F.col("first")).otherwise(own))
     some = lambda c: F.when(c != LAST, c)
     return out.select(
-        some(F.col("doc")).alias("doc_id"), "key", F.col("n").alias("n_shingles"), some(F.col("first.doc")).alias("component_id"), (F.col("first") == own).alias("kept")
+        some(F.col("doc")).alias("doc_id"), "doc", "key", F.col("n").alias("n_shingles"), some(F.col("first.doc")).alias("component_id"), (F.col("first") == own).alias("kept")
     )
 
 

@@ -18,7 +18,7 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scoring.score(table(spark, sf_dir, "documents"), fold() % 7 != 2)
-    return found.withColumn("held_out", fold() % 7 == 2).drop("key")
+    return found.withColumn("held_out", fold() % 7 == 2)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,7 +56,7 @@ def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near.group(table(spark, sf_dir, "documents")).drop("key")
+    return near.group(table(spark, sf_dir, "documents")).drop("doc", "key")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

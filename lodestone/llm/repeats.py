@@ -7,12 +7,14 @@ than windows. Each partition makes a count-min sketch of its anchors; sketches a
 by anchor range, and only windows whose anchor is estimated to repeat travel further. An
 estimate is never too low, so no repeated window is lost.
 
-Rows are known by (doc_id, hash of doc_id and text), which equal rows share harmlessly.
+Rows are known by (doc_id, hash of doc_id and text), which equal rows share harmlessly. What
+a task holds of a shard is its merged sketch and the compressed blocks that await it.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -20,15 +22,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import kernels as K
-from lodestone.llm.common import parts_for
+from lodestone.llm.common import dealt, parts_for
 
 U = np.uint64
 #: Place and number of windows of a run.
 SPAN = np.dtype([("start", "<i4"), ("count", "<i4")])
 CELLS, PROBES, DIRECT = 0, 1, 2
 FLUSH = 8 << 20
-BLOCK = "shard int, kind int, key long, blob binary"
-BLOCK_PA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("key", pa.int64()), ("blob", pa.binary())])
+BLOCK = "shard int, kind int, doc long, key long, blob binary"
+BLOCK_PA = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), ("doc", pa.int64()), ("key", pa.int64()), ("blob", pa.binary())])
+#: What a null doc_id counts as.
+LAST = (1 << 63) - 1
+ROW = np.dtype([("doc", "<i8"), ("key", "<i8")])
 
 
 class CountMin:
@@ -60,9 +65,20 @@ class CountMin:
         return np.minimum(self.rows[0][a], self.rows[1][b])
 
 
-def keyed(docs: DataFrame) -> DataFrame:
-    """doc_id, text and the row's key; other columns don't travel."""
-    return docs.select("doc_id", "text", F.xxhash64("doc_id", "text").alias("key"))
+def keyed(docs: DataFrame, least: int = 0) -> DataFrame:
+    """doc_id, text and the row's identity (doc, key); other columns don't travel. Rows whose
+    texts have fewer than `least` bytes never meet anything; their keys are of their own, so
+    that any number of them is spread."""
+    key = F.xxhash64("doc_id", "text")
+    if least:
+        key = F.when(F.octet_length("text") >= least, key).otherwise(F.xxhash64(F.monotonically_increasing_id()))
+    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), key.alias("key"))
+
+
+def identities(batch: pa.RecordBatch) -> np.ndarray:
+    out = np.empty(batch.num_rows, ROW)
+    out["doc"], out["key"] = batch.column("doc").to_numpy(), batch.column("key").to_numpy()
+    return out
 
 
 def shard_of(v: np.ndarray, shards: int) -> np.ndarray:
@@ -99,21 +115,48 @@ def emit(shard: np.ndarray, kind: int, make: Callable[[np.ndarray], bytes], shar
     """One block for each shard: its members in order."""
     order = np.argsort(shard.astype(np.uint16) if shards <= 1 << 16 else shard, kind="stable")
     first, size = K.by_group(shard[order])
-    return [(int(shard[order[a]]), kind, 0, make(order[a : a + n])) for a, n in zip(first, size, strict=True)]
+    return [(int(shard[order[a]]), kind, 0, 0, make(order[a : a + n])) for a, n in zip(first, size, strict=True)]
 
 
 def to_batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), BLOCK_PA.types, strict=True)], schema=BLOCK_PA)
 
 
-def per_row(keys: np.ndarray, records: np.ndarray, shards: int, kind: int = DIRECT) -> pa.RecordBatch:
-    """One row for each run of equal keys, which holds its records."""
-    first, size = K.by_group(keys)
-    k = keys[first]
-    return pa.RecordBatch.from_arrays(
-        [pa.array((k.view(U) % U(shards)).astype(np.int32)), pa.array(np.full(len(k), kind, np.int32)), pa.array(k), K.binaries(records, size)],
-        schema=BLOCK_PA,
-    )
+def per_row(rows: np.ndarray, records: np.ndarray, shards: int, kind: int = DIRECT) -> pa.RecordBatch:
+    """One row for each run of equal identities, which holds its records."""
+    first, size = K.by_group(rows)
+    some = rows[first]
+    shard = shard_of(some["key"].view(U), shards).astype(np.int32)
+    columns = [pa.array(shard), pa.array(np.full(len(some), kind, np.int32)), pa.array(some["doc"].copy()), pa.array(some["key"].copy()), K.binaries(records, size)]
+    return pa.RecordBatch.from_arrays(columns, schema=BLOCK_PA)
+
+
+def by_shard(run: Callable) -> Callable:
+    """Calls run(batches) for each shard of a partition, whose rows come one shard after another."""
+
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
+        for batch in batches:
+            shard = batch.column("shard").to_numpy()
+            for f, n in zip(*K.by_group(shard), strict=True):
+                yield int(shard[f]), batch.slice(f, n)
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, own in groupby(split(batches), key=lambda x: x[0]):
+            yield from run(b for _, b in own)
+
+    return every
+
+
+def packed_rows(rows: np.ndarray) -> dict[str, np.ndarray]:
+    """Identities of successive records: each run once, and how many records it has."""
+    first, size = K.by_group(rows)
+    return {"doc": rows["doc"][first], "key": rows["key"][first], "rows": size.astype(np.int32)}
+
+
+def unpacked_rows(x: dict[str, np.ndarray]) -> np.ndarray:
+    out = np.empty(len(x["key"]), ROW)
+    out["doc"], out["key"] = x["doc"], x["key"]
+    return np.repeat(out, x["rows"])
 
 
 def probe(width: int, gram: int, words: bool, shards: int, bits: int) -> Callable:
@@ -136,8 +179,8 @@ def probe(width: int, gram: int, words: bool, shards: int, bits: int) -> Callabl
             anchor, start, count, key = (x[~repeats] for x in (anchor, start, count, key))
 
             def make(i):
-                first, rows = K.by_group(key[i])
-                return K.pack(v=anchor[i].astype(np.uint32), start=start[i].astype(np.int32), count=count[i].astype(np.int32), key=key[i][first], rows=rows.astype(np.int32))
+                # starts as distances, which are small
+                return K.pack(v=anchor[i].astype(np.uint32), start=np.diff(start[i], prepend=0).astype(np.int32), count=count[i].astype(np.int32), **packed_rows(key[i]))
 
             out += emit(shard_of(anchor, shards), PROBES, make, shards)
             if out:
@@ -145,7 +188,7 @@ def probe(width: int, gram: int, words: bool, shards: int, bits: int) -> Callabl
 
         for batch in batches:
             data, offsets = K.text_bytes(batch.column("text"))
-            keys = batch.column("key").to_numpy()
+            keys = identities(batch)
             for a, b in K.chunks(offsets):
                 h, rows = units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], words)
                 chosen, anchor, at, start, count = anchored(h, rows, width, gram)
@@ -178,18 +221,18 @@ def survivors(shards: int, bits: int) -> Callable:
             hit = sketch.estimate(x["v"]) > 1
             if hit.any():
                 spans = np.empty(int(hit.sum()), SPAN)
-                spans["start"], spans["count"] = x["start"][hit], x["count"][hit]
-                yield per_row(np.repeat(x["key"], x["rows"])[hit], spans, shards)
+                spans["start"], spans["count"] = np.cumsum(x["start"].astype(np.int64))[hit], x["count"][hit]
+                yield per_row(unpacked_rows(x)[hit], spans, shards)
 
-    return run
+    return by_shard(run)
 
 
 def repeated_runs(docs: DataFrame, width: int, gram: int, words: bool, mb_per_shard: float, bits: int) -> DataFrame:
-    """(key, runs array<binary>): for each keyed row, the runs of windows that may repeat."""
+    """(doc, key, runs array<binary>): for each keyed row, the runs of windows that may repeat."""
     shards = parts_for(docs, mb_per_shard)
-    blocks = docs.select("key", "text").mapInArrow(probe(width, gram, words, shards, bits), BLOCK)
-    hits = blocks.repartitionById(shards, F.col("shard")).mapInArrow(survivors(shards, bits), BLOCK)
-    return hits.groupBy("key").agg(F.collect_list("blob").alias("runs"))
+    blocks = docs.select("doc", "key", "text").mapInArrow(probe(width, gram, words, shards, bits), BLOCK)
+    hits = dealt(blocks, shards).mapInArrow(survivors(shards, bits), BLOCK)
+    return hits.groupBy("doc", "key").agg(F.collect_list("blob").alias("runs"))
 
 
 def joined_runs(column: pa.Array, at: int) -> np.ndarray:

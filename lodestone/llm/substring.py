@@ -3,8 +3,9 @@
 Words are `[^\\x20\\x09-\\x0D]+` of whole texts. Every word that a window of `width` words
 covers is removed if the window's word sequence starts anywhere else too, in the same
 document or another. Windows are judged on the input. The first pass (repeats.py)
-overestimates counts; the second groups the remaining windows by a 128-bit fingerprint of
-their words, and groups of two or more are repeated.
+overestimates counts; the second groups the remaining windows by their words, known by two
+64-bit fingerprints that are made of two independent hashes of each word, and groups of two
+or more are repeated.
 
 Null and blank texts have no words; a null doc_id is an ordinary row; equal rows repeat
 each other; texts of fewer words than a window lose nothing. An empty table gives no rows.
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import kernels as K
 from lodestone.llm import repeats as R
-from lodestone.llm.common import parts_for
+from lodestone.llm.common import dealt, parts_for
 
 U = np.uint64
 SPAN = R.SPAN
@@ -64,8 +65,7 @@ def fingerprints(width: int, gram: int, shards: int) -> Callable:
 
             def make(i):
                 j = sent[i]
-                at, rows = K.by_group(key[j])
-                return K.pack(h1=h1[j], h2=h2[j], key=key[j][at], rows=rows.astype(np.int32), start=start[j].astype(np.int32), twice=twice[i])
+                return K.pack(h1=h1[j], h2=h2[j], start=np.diff(start[j], prepend=0).astype(np.int32), twice=twice[i], **R.packed_rows(key[j]))
 
             out = R.emit(shard, R.PROBES, make, shards)
             if out:
@@ -73,16 +73,18 @@ def fingerprints(width: int, gram: int, shards: int) -> Callable:
 
         for batch in batches:
             data, offsets = K.text_bytes(batch.column("text"))
-            keys, runs = batch.column("key").to_numpy(), batch.column("runs")
+            keys, runs = R.identities(batch), batch.column("runs")
             for a, b in K.chunks(offsets):
-                h, rows = R.units(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], True)
-                w1, w2 = K.POLY_A.windows(h, width), K.POLY_B.windows(h, width)
+                words = K.Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                rows = words.rows
+                h, other = words.both_hashes()
+                w1, w2 = K.POLY_A.windows(h, width), K.POLY_B.windows(other, width)
                 for i in range(a, b):
                     r = R.joined_runs(runs, i)
                     first = r["start"] + rows[i - a]
                     anchor = R.anchors_of(h[rows[i - a] : rows[i - a + 1]], r["start"].astype(np.int64), r["count"], width, gram)
                     at = K.ranges(first, r["count"])
-                    held.append((np.repeat(anchor, r["count"]), w1[at], w2[at], np.full(len(at), keys[i]), at - rows[i - a]))
+                    held.append((np.repeat(anchor, r["count"]), w1[at], w2[at], np.full(len(at), keys[i], R.ROW), at - rows[i - a]))
                     size += len(at)
                 if size >= 400_000:
                     yield from flush()
@@ -102,7 +104,7 @@ def groups(shards: int) -> Callable:
             kinds = batch.column("kind").to_numpy()
             for i in np.flatnonzero(kinds == R.PROBES):
                 x = K.unpack(batch.column("blob")[i].as_py())
-                held.append(x | {"key": np.repeat(x["key"], x["rows"])})
+                held.append(x | {"key": R.unpacked_rows(x), "start": np.cumsum(x["start"].astype(np.int64))})
             if (kinds == R.DIRECT).any():
                 yield batch.filter(pa.array(kinds == R.DIRECT))
         if not held:
@@ -122,7 +124,7 @@ def groups(shards: int) -> Callable:
             spans, of = spans_from(start[i], key[i])
             yield R.per_row(of, spans, shards)
 
-    return run
+    return R.by_shard(run)
 
 
 def kept_words(data: np.ndarray, w: K.Words, gone: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -169,25 +171,26 @@ def finish(width: int, texts: bool) -> Callable:
                     one = raw[bounds[i] : bounds[i + 1]]
                     one = one[:-1] if one.endswith(b" ") else one
                     out.append(one.decode() if texts else hashlib.sha256(one).hexdigest())
-            columns = [batch.column("doc_id"), pa.array(n_words), pa.array(n_removed), pa.array(out, pa.string())]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column("key")], ["doc_id", "n_words", "n_removed", "kept", "key"])
+            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n_words), pa.array(n_removed), pa.array(out, pa.string())]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column("doc"), batch.column("key")], ["doc_id", "n_words", "n_removed", "kept", "doc", "key"])
 
     return run
 
 
 def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 8, texts: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, key): kept words joined by one space, or with
-    texts=False their SHA-256 in hex."""
-    docs = R.keyed(docs)
+    """(doc_id, n_words, n_removed, kept, doc, key): kept words joined by one space, or with
+    texts=False their SHA-256 in hex; doc and key as R.keyed gives them to texts that can hold
+    a window."""
+    docs = R.keyed(docs, 2 * width - 1)
     runs = R.repeated_runs(docs, width, gram, True, mb_per_shard=64, bits=22)
     shards = parts_for(docs, 40)
     # The same columns as in the last join, so that both share one shuffle of the texts.
-    found = docs.join(runs.hint("shuffle_hash"), "key").select("doc_id", "key", "text", "runs")
+    found = docs.join(runs.hint("shuffle_hash"), ["doc", "key"]).select("doc_id", "doc", "key", "text", "runs")
     blocks = found.mapInArrow(fingerprints(width, gram, shards), R.BLOCK)
-    hits = blocks.repartitionById(shards, F.col("shard")).mapInArrow(groups(shards), R.BLOCK)
-    spans = hits.groupBy("key").agg(F.collect_list("blob").alias("spans"))
-    both = docs.join(spans.hint("shuffle_hash"), "key", "left").select("doc_id", "key", "text", "spans")
-    return both.mapInArrow(finish(width, texts), "doc_id long, n_words long, n_removed long, kept string, key long")
+    hits = dealt(blocks, shards).mapInArrow(groups(shards), R.BLOCK)
+    spans = hits.groupBy("doc", "key").agg(F.collect_list("blob").alias("spans"))
+    both = docs.join(spans.hint("shuffle_hash"), ["doc", "key"], "left").select("doc_id", "doc", "key", "text", "spans")
+    return both.mapInArrow(finish(width, texts), "doc_id long, n_words long, n_removed long, kept string, doc long, key long")
 
 
 def brute(texts: list[str | None], width: int) -> list[tuple[int, int, str]]:
