@@ -54,7 +54,7 @@ SIGMA = 250
 class Spool:
     """Arrays that are files when they are large; all vanish when the block ends."""
 
-    memory = 24 << 20
+    memory = 8 << 20
 
     def __enter__(self) -> Spool:
         self.folder: tempfile.TemporaryDirectory | None = None
@@ -673,24 +673,31 @@ class Strings:
 
 
 def counted(data: np.ndarray, length: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The stretches (string, offset, length) of windows counted more than once; counts are
-    never too low."""
+    """The stretches (string, offset, length) of windows counted more than once; counts, in two
+    rows of cells, are never too low."""
     bounds = np.concatenate(([0], np.cumsum(length)))
-    cells = np.zeros(CELLS, np.uint8)
+    cells = np.zeros((2, CELLS), np.uint8)
 
     def every():
         for a, b in K.chunks(bounds, 4 * K.CHUNK):
             part = data[bounds[a] : bounds[b]]
             w = K.POLY_A.windows(K.BYTE_VALUES[part], width)
             ok = K.inside(bounds[a : b + 1] - bounds[a], width, len(part))
-            yield a, b, (w & U(CELLS - 1)).astype(np.int64), ok
-
-    for _, _, cell, ok in every():
-        some, n = np.unique(cell[ok], return_counts=True)
-        cells[some] = np.minimum(cells[some] + np.minimum(n, 2), 2)
+            yield a, b, [(w & U(CELLS - 1)).astype(np.int64), ((w >> U(32)) & U(CELLS - 1)).astype(np.int64)], ok
+
+    for _, _, at, ok in every():
+        for row, cell in zip(cells, at, strict=True):
+            cell = cell[ok]
+            # seen before, or twice here
+            once = row[cell] > 0
+            row[cell[once]] = 2
+            cell = cell[~once]
+            row[cell] = 1
+            order = np.sort(cell)
+            row[order[1:][order[1:] == order[:-1]]] = 2
     out = [(np.zeros(0, np.int64),) * 3]
     for a, b, cell, ok in every():
-        at = np.flatnonzero(ok & (cells[cell] > 1))
+        at = np.flatnonzero(ok & (np.minimum(cells[0][cell[0]], cells[1][cell[1]]) > 1))
         if not len(at):
             continue
         own = np.searchsorted(bounds[a : b + 1] - bounds[a], at, "right") - 1 + a
