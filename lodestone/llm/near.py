@@ -370,6 +370,13 @@ def group(docs: DataFrame, width: int = 5, per_block: int = 512) -> DataFrame:
     )
 
 
+def keep(docs: DataFrame, width: int = 5) -> DataFrame:
+    """All columns of the rows that group() keeps; of rows equal in doc_id and text one."""
+    kept = group(docs, width).where("kept").select("doc", "key").distinct()
+    rows = R.keyed(docs, whole=True).join(kept, ["doc", "key"], "left_semi").dropDuplicates(["doc", "key"])
+    return R.unkeyed(rows, docs.columns)
+
+
 def brute(docs: list[tuple[int, str | None]], width: int = 5) -> dict[int, tuple[int, int]]:
     """Plain Python for tests: doc_id to (n_shingles, component_id)."""
     import re

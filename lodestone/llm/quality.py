@@ -151,12 +151,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
 
 def keep(docs: DataFrame, weights: np.ndarray, least: float = 0.5) -> DataFrame:
     """The rows, all columns, whose score is at least so high; nothing is shuffled."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(scores_of(batch.column("text"), weights) >= least))
-
-    return docs.mapInArrow(run, docs.schema)
+    return R.filtered(docs, lambda texts: scores_of(texts, weights) >= least)
 
 
 def tokens(text: str) -> list[str]:

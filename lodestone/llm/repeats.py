@@ -18,7 +18,7 @@ from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import kernels as K
@@ -65,14 +65,39 @@ class CountMin:
         return np.minimum(self.rows[0][a], self.rows[1][b])
 
 
-def keyed(docs: DataFrame, least: int = 0) -> DataFrame:
-    """doc_id, text and the row's identity (doc, key); other columns don't travel. Rows whose
-    texts have fewer than `least` bytes never meet anything; their keys are of their own, so
-    that any number of them is spread."""
+def keyed(docs: DataFrame, least: int = 0, whole: bool = False) -> DataFrame:
+    """doc_id, text and the row's identity (doc, key); other columns don't travel, or with
+    `whole` all but text do as one column `row` instead of doc_id. Rows whose texts have fewer
+    than `least` bytes never meet anything; their keys are of their own, so that any number of
+    them is spread."""
     key = F.xxhash64("doc_id", "text")
     if least:
         key = F.when(F.octet_length("text") >= least, key).otherwise(F.xxhash64(F.monotonically_increasing_id()))
-    return docs.select("doc_id", "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), key.alias("key"))
+    carried = F.struct(*[quoted(c) for c in docs.columns if c.lower() != "text"]).alias("row") if whole else F.col("doc_id")
+    return docs.select(carried, "text", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("doc"), key.alias("key"))
+
+
+def quoted(name: str, of: str = "") -> Column:
+    """A column whatever its name."""
+    return F.col(of + "`" + name.replace("`", "``") + "`")
+
+
+def unkeyed(rows: DataFrame, columns: list[str], *more: str) -> DataFrame:
+    """The columns of whole keyed rows again, and more of the rows' columns."""
+    return rows.select(*[F.col("text").alias(c) if c.lower() == "text" else quoted(c, "row.").alias(c) for c in columns], *more)
+
+
+def filtered(docs: DataFrame, chosen: Callable[[pa.Array], np.ndarray]) -> DataFrame:
+    """The rows, all columns, of which chosen(texts) holds; nothing is shuffled. Columns go by
+    place, since names may hold anything."""
+    at = [c.lower() for c in docs.columns].index("text")
+    plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(chosen(batch.column(at))))
+
+    return plain.mapInArrow(run, plain.schema).toDF(*docs.columns)
 
 
 def identities(batch: pa.RecordBatch) -> np.ndarray:

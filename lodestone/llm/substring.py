@@ -18,8 +18,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lodestone.llm import kernels as K
 from lodestone.llm import repeats as R
@@ -145,7 +147,10 @@ def kept_words(data: np.ndarray, w: K.Words, gone: np.ndarray) -> tuple[np.ndarr
     return out, size[w.offsets]
 
 
-def finish(width: int, texts: bool) -> Callable:
+def finish(width: int, carried: str, texts: bool, originals: bool = False) -> Callable:
+    """Each row's counts and what is left of its text, or the SHA-256 of that; with `originals`
+    texts that lose nothing stay as they are."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.text_bytes(batch.column("text"))
@@ -171,26 +176,41 @@ def finish(width: int, texts: bool) -> Callable:
                     one = raw[bounds[i] : bounds[i + 1]]
                     one = one[:-1] if one.endswith(b" ") else one
                     out.append(one.decode() if texts else hashlib.sha256(one).hexdigest())
-            columns = [batch.column("doc_id").cast(pa.int64()), pa.array(n_words), pa.array(n_removed), pa.array(out, pa.string())]
-            yield pa.RecordBatch.from_arrays([*columns, batch.column("doc"), batch.column("key")], ["doc_id", "n_words", "n_removed", "kept", "doc", "key"])
+            kept = pa.array(out, pa.string())
+            if originals:
+                kept = pc.if_else(pa.array(n_removed > 0), kept, batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column(carried), pa.array(n_words), pa.array(n_removed), kept], [carried, "n_words", "n_removed", "text" if originals else "kept"])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 8, texts: bool = True) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept, doc, key): kept words joined by one space, or with
-    texts=False their SHA-256 in hex; doc and key as R.keyed gives them to texts that can hold
-    a window."""
-    docs = R.keyed(docs, 2 * width - 1)
+def with_spans(docs: DataFrame, width: int, gram: int, carried: str) -> DataFrame:
+    """Keyed docs with the spans (array<binary>, null: none) of their repeated windows."""
     runs = R.repeated_runs(docs, width, gram, True, mb_per_shard=64, bits=22)
     shards = parts_for(docs, 40)
     # The same columns as in the last join, so that both share one shuffle of the texts.
-    found = docs.join(runs.hint("shuffle_hash"), ["doc", "key"]).select("doc_id", "doc", "key", "text", "runs")
-    blocks = found.mapInArrow(fingerprints(width, gram, shards), R.BLOCK)
+    found = docs.join(runs.hint("shuffle_hash"), ["doc", "key"]).select(carried, "doc", "key", "text", "runs")
+    blocks = found.select("doc", "key", "text", "runs").mapInArrow(fingerprints(width, gram, shards), R.BLOCK)
     hits = dealt(blocks, shards).mapInArrow(groups(shards), R.BLOCK)
     spans = hits.groupBy("doc", "key").agg(F.collect_list("blob").alias("spans"))
-    both = docs.join(spans.hint("shuffle_hash"), ["doc", "key"], "left").select("doc_id", "doc", "key", "text", "spans")
-    return both.mapInArrow(finish(width, texts), "doc_id long, n_words long, n_removed long, kept string, doc long, key long")
+    return docs.join(spans.hint("shuffle_hash"), ["doc", "key"], "left").select(carried, "text", "spans")
+
+
+def remove_repeats(docs: DataFrame, width: int = 35, gram: int = 8, texts: bool = True) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept): kept words joined by one space, or with texts=False
+    their SHA-256 in hex."""
+    docs = R.keyed(docs, 2 * width - 1).withColumn("doc_id", F.col("doc_id").cast("long"))
+    both = with_spans(docs, width, gram, "doc_id")
+    return both.mapInArrow(finish(width, "doc_id", texts), "doc_id long, n_words long, n_removed long, kept string")
+
+
+def cut(docs: DataFrame, n_words: str = "n_words", n_removed: str = "n_removed", width: int = 35, gram: int = 8) -> DataFrame:
+    """All rows and columns; texts that lose words are what remove_repeats keeps of them. Two
+    more columns of the given names tell how many words there were and how many went."""
+    keyed = R.keyed(docs, 2 * width - 1, whole=True)
+    kind = StructType([keyed.schema["row"], *(StructField(c, LongType()) for c in ("n_words", "n_removed")), StructField("text", StringType())])
+    out = with_spans(keyed, width, gram, "row").mapInArrow(finish(width, "row", True, originals=True), kind)
+    return R.unkeyed(out, docs.columns, F.col("n_words").alias(n_words), F.col("n_removed").alias(n_removed))
 
 
 def brute(texts: list[str | None], width: int) -> list[tuple[int, int, str]]:

@@ -135,6 +135,26 @@ def test_decontamination_of_repeated_shingles(spark):
         assert np.array_equal(decontaminate.fingerprints(sh, np.array([s]), 10)[0], want)
 
 
+def test_decontamination_of_many_items(spark, monkeypatch):
+    """Thousands of items of one length, over several slices: near ones are found, memory is that
+    of tiles, and every fingerprint within the radius is a candidate."""
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    items = [(i, " ".join(word() for _ in range(30))) for i in range(3000)]
+    docs = []
+    for i in range(0, 3000, 100):
+        w = items[i][1].split()
+        w[rng.randrange(30)] = word()
+        docs.append((i, " ".join([word() for _ in range(40)] + (w if i % 200 else items[i][1].split()) + [word()])))
+    monkeypatch.setattr(decontaminate, "SLICE", 1 << 18)
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.matches(table(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == decontaminate.brute(docs, [items[i] for i, _ in docs], 0.75) and len(got) >= 15
+    prints = np.random.default_rng(1).integers(0, 256, (400, 16)).astype(np.uint8)
+    near = (decontaminate.NEAR[prints[:, None], prints[None]] <= decontaminate.RADIUS // decontaminate.BLOCKS).any(2)
+    distance = decontaminate.NEAR[prints[:, None], prints[None]].sum(2)
+    assert near[distance <= decontaminate.RADIUS].all()
+
+
 def test_archive(spark):
     rows = [(1, "http://a", "<p>é</p>"), (2, "http://b", "<p>é</p>"), (3, None, None), (4, "x\ny", ""), (None, "n", "z"), (7, "same", "q"), (7, "same", "q")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
