@@ -13,8 +13,6 @@ from pyspark.sql import functions as F
 from lodestone.llm import decontaminate, mixing, near, quality, substring
 from lodestone.llm.common import fold, saved, table
 
-KEY = "_row_key"
-
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go."""
@@ -24,22 +22,27 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, that of the least doc_id."""
-    kept = near.group(docs).where("kept").select(F.col("key").alias(KEY)).distinct()
-    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
-    return keyed.join(kept, KEY, "left_semi").dropDuplicates([KEY]).drop(KEY)
+    return near.keep(docs)
+
+
+def unused(docs: DataFrame, name: str) -> str:
+    """A column name like this one that docs doesn't have."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words of windows that repeat are cut out; n_chars follows. Texts without repeats
     stay as they are, and documents of which nothing is left go."""
-    found = substring.remove_repeats(docs).dropDuplicates(["key"]).select(F.col("key").alias(KEY), "n_words", "n_removed", "kept")
-    keyed = docs.withColumn(KEY, F.xxhash64("doc_id", "text"))
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    cut = keyed.join(found, KEY).where("n_removed = 0 or n_removed < n_words").withColumn("text", text)
+    words, removed = unused(docs, "n_words"), unused(docs, "n_removed")
+    cut = substring.cut(docs, words, removed)
+    left = cut.where((F.col(removed) == 0) | (F.col(removed) < F.col(words)))
     if "n_chars" in docs.columns:
-        n_chars = F.when(F.col("n_removed") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))
-        cut = cut.withColumn("n_chars", n_chars)
-    return cut.select(*docs.columns)
+        n_chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+        left = left.withColumn("n_chars", F.when(F.col(removed) > 0, n_chars).otherwise(F.col("n_chars")))
+    return left.drop(words, removed)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
