@@ -22,7 +22,7 @@ def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("distance")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +63,46 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
 
+OP1_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, 2 * i + 1, 100)) AS h FROM (SELECT doc_id, x, unnest(range(0, greatest(length(x) // 2 - 49, 0))) AS i FROM d)),
+r AS (SELECT doc_id, i FROM (SELECT *, min(doc_id) OVER (PARTITION BY h) AS first_id FROM w) WHERE first_id < doc_id),
+g AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM r),
+s AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g) GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s),
+o AS (
+  SELECT d.doc_id, any_value(x) AS x, sum(b - a) AS n_removed, count(a) AS n_spans, coalesce(max(b), 0) AS last,
+    coalesce(string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY a), '') AS kept FROM d LEFT JOIN k USING (doc_id) GROUP BY d.doc_id
+)
+SELECT doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, n_spans::BIGINT AS n_spans,
+  sha256(unhex(concat(kept, substr(x, 2 * last + 1)))) AS kept_sha256 FROM o
+"""
+
+OP3_SQL = """
+WITH t AS (
+  SELECT 'd' AS kind, doc_id AS id, row_number() OVER () AS no, text FROM documents UNION ALL
+  SELECT 'i', item_id, row_number() OVER (), text FROM (SELECT DISTINCT item_id, text FROM benchmark)
+), w AS (
+  SELECT kind, id, no, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM t
+), s AS (
+  SELECT kind, id, no, len(w) - 4 AS n, i, md5(array_to_string(w[i + 1:i + 5], ' ')) AS g FROM (SELECT *, unnest(range(0, len(w) - 4)) AS i FROM w WHERE len(w) >= 5)
+), m AS (SELECT id AS item_id, no AS item, n AS m, g, count(*) AS c FROM s WHERE kind = 'i' GROUP BY ALL),
+c AS (
+  SELECT DISTINCT d.id, d.no, d.n, item_id, item, m, least(m, d.n) AS size, unnest(range(greatest(0, i - least(m, d.n) + 1), least(i, d.n - least(m, d.n)) + 1)) AS a
+  FROM s d JOIN m ON d.g = m.g WHERE d.kind = 'd'
+), x AS (
+  SELECT c.id, c.no, item_id, item, m, size, a, s.g, count(*) AS n FROM c JOIN s ON s.kind = 'd' AND s.no = c.no AND s.i BETWEEN a AND a + size - 1 GROUP BY ALL
+), y AS (
+  SELECT id, no, x.item_id, x.item, x.m, size, a, sum(least(n, c))::DOUBLE AS shared FROM x JOIN m ON m.item = x.item AND m.g = x.g GROUP BY ALL
+), z AS (
+  SELECT id AS doc_id, no, item_id, item, a AS start, size + 4 AS n_words, shared / (size + m - shared) AS similarity FROM y UNION ALL
+  SELECT d.id, d.no, i.id, i.no, a, len(i.w), 1.0::DOUBLE FROM (SELECT *, unnest(range(0, len(w))) AS a FROM w WHERE kind = 'd') d
+  JOIN w i ON i.kind = 'i' AND len(i.w) BETWEEN 1 AND 4 AND d.w[a + 1:a + len(i.w)] = i.w
+)
+SELECT doc_id, item_id, start::BIGINT AS start, n_words::BIGINT AS n_words, similarity FROM z WHERE similarity >= 0.75
+QUALIFY row_number() OVER (PARTITION BY no, item ORDER BY similarity DESC, start) = 1
+"""
+
 OP4_SQL = """
 WITH r AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS h FROM pages),
 f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM r)
@@ -141,4 +181,4 @@ FROM d LEFT JOIN n USING (doc_id) JOIN c ON c.a = d.doc_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_warc": OP4_SQL, "op7_cover_tree": OP7_SQL, "op8_substring": OP8_SQL, "op9_mix_sources": OP9_SQL, "op10_minhash": OP10_SQL}
+    return {"op1_suffix_dedup": OP1_SQL, "op3_decontaminate": OP3_SQL, "op4_warc": OP4_SQL, "op7_cover_tree": OP7_SQL, "op8_substring": OP8_SQL, "op9_mix_sources": OP9_SQL, "op10_minhash": OP10_SQL}
