@@ -7,8 +7,11 @@ entropy with the language. The language of the least wins; ties go to the lesser
 Symbols are lower-cased ASCII letters and the bytes of other letters; every run of other
 signs counts byte by byte as one separator symbol.
 
-Whole texts are parsed, in stretches of at most STRETCH symbols of which each begins a new
-phrase, so that numpy can step through thousands of stretches at once.
+Whole texts are parsed as one sequence of phrases. So that numpy can step through thousands of
+places at once, stretches of at most STRETCH symbols are first parsed each from a new phrase;
+then every stretch is parsed again from the state that the one before it ends in, until both
+parses are in one state, after which they agree. A stretch in which they never meet ends in
+another state, and the one after it is parsed once more.
 
 The sample of a language is at most `sample_bytes` symbols: a piece of at most PIECE
 characters from each distinct text with letters in order of hash, then second pieces, until
@@ -122,28 +125,67 @@ class Model:
         # Stretches of a row are of almost equal size.
         low = offsets[row] + number * size[row] // np.maximum(parts[row], 1)
         high = offsets[row] + (number + 1) * size[row] // np.maximum(parts[row], 1)
-        order = np.argsort(low - high, kind="stable")
-        low, high, row = low[order], high[order], row[order]
         out = np.zeros((len(size), len(self.names)), np.int64)
         if not len(row):
             return out
         code = self.code[data].astype(np.int64)
-        longest = int(high[0] - low[0])
+        roots = np.array(self.roots, np.int64)[None, :]
+        order = np.argsort(low - high, kind="stable")
+        first, length = low[order], (high - low)[order]
         # lanes that still have a symbol at each step: stretches are sorted by length
-        live = np.searchsorted(low - high, -np.arange(longest), "left")
-        langs = len(self.names)
-        state = np.repeat(np.array(self.roots, np.int64)[None, :], len(row), 0)
-        count = np.zeros((len(row), langs), np.int64)
-        for step in range(longest):
-            n = int(live[step])
-            c = code[low[:n] + step]
-            v = self.table[state[:n] * self.width + c[:, None]]
+        live = np.searchsorted(-length, -np.arange(int(length[0])), "left")
+        state = np.repeat(roots, len(row), 0)
+        count = np.zeros((len(row), len(self.names)), np.int64)
+        for step, n in enumerate(live.tolist()):
+            v = self.table[state[:n] * self.width + code[first[:n] + step][:, None]]
             count[:n] += v & 3
             state[:n] = v >> 2
-        count += state != np.array(self.roots)[None, :]
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        state, count = state[back], count[back]
+        redo = np.flatnonzero(number > 0)
+        more = np.zeros_like(count)
+        while len(redo):
+            redo = self._again(code, low, high, roots, state, more, redo)
+            redo = redo[redo < len(row)]
+            redo = redo[number[redo] > 0]
+        count += more
+        last = number == parts[row] - 1
+        count[last] += state[last] != roots
         np.add.at(out, row, count)
         return out
 
+    def _again(self, code, low, high, roots, state, more, redo) -> np.ndarray:
+        """Parses stretches from the ends of those before them; `more` gets the phrases more than
+        from their own starts, `state` their ends. Those after a changed end are returned."""
+        lane = np.repeat(redo, len(self.names))
+        lang = np.tile(np.arange(len(self.names)), len(redo))
+        one, two = state[lane - 1, lang], roots[0][lang]
+        extra = np.zeros(len(lane), np.int64)
+        changed = []
+        more[redo] = 0
+        at = low[lane]
+        while len(lane):
+            met, ended = one == two, at == high[lane]
+            done = met | ended
+            if done.any():
+                more[lane[done], lang[done]] = extra[done]
+                late = ended & ~met
+                if late.any():
+                    x, y = lane[late], lang[late]
+                    changed.append(x[state[x, y] != one[late]] + 1)
+                    state[x, y] = one[late]
+                keep = ~done
+                lane, lang, one, two, extra, at = (z[keep] for z in (lane, lang, one, two, extra, at))
+                if not len(lane):
+                    break
+            c = code[at]
+            v, w = self.table[one * self.width + c], self.table[two * self.width + c]
+            extra += (v & 3) - (w & 3)
+            one, two = v >> 2, w >> 2
+            at = at + 1
+        return np.unique(np.concatenate(changed)) if changed else np.zeros(0, np.int64)
+
     def costs(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Bits of each row in each language."""
         return self.phrases(data, offsets) * np.array(self.bits)[None, :]
@@ -265,7 +307,7 @@ def predict(docs: DataFrame, samples: dict[str, bytes]) -> DataFrame:
 
 
 def brute(text: bytes, sample: bytes) -> int:
-    """Plain Python for tests: phrases of one stretch."""
+    """Plain Python for tests: phrases of a whole text."""
     t, s = bytes(FOLD[np.frombuffer(text, np.uint8)]), bytes(FOLD[np.frombuffer(sample, np.uint8)])
     i = n = 0
     while i < len(t):

@@ -15,7 +15,9 @@ labelled row all scores are 0.5. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -157,3 +159,26 @@ def keep(docs: DataFrame, weights: np.ndarray, least: float = 0.5) -> DataFrame:
 def tokens(text: str) -> list[str]:
     """Plain Python for tests: the tokens of a text."""
     return [m for w in re.findall(r"[^\x20\x09-\x0D]+", text) for m in re.findall(r"[0-9A-Za-z\u0080-\U0010ffff]+|[^0-9A-Za-z\u0080-\U0010ffff]+", w)]
+
+
+def brute(examples: list[tuple[str | None, int]], alpha: float = 0.5, beta: float = 1.0, l1: float = 0.002, l2: float = 0.02) -> dict[int, float]:
+    """Plain Python for tests: weights by slot after one pass over texts and labels in order."""
+    z: dict[int, float] = {}
+    n: dict[int, float] = {}
+
+    def weight(i: int) -> float:
+        if abs(z.get(i, 0.0)) <= l1:
+            return 0.0
+        return -(z[i] - math.copysign(l1, z[i])) / ((beta + math.sqrt(n[i])) / alpha + l2)
+
+    for text, label in examples:
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        slots = features(data, np.array([0, len(data)]))[0].tolist()
+        x = {i: c * SCALE / max(1, len(slots)) for i, c in Counter(slots).items()} | {1 << BITS: 1.0}
+        w = {i: weight(i) for i in x}
+        p = 1 / (1 + math.exp(-max(-35.0, min(35.0, sum(w[i] * v for i, v in x.items())))))
+        for i, v in x.items():
+            g = (p - label) * v
+            z[i] = z.get(i, 0.0) + g - (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / alpha * w[i]
+            n[i] = n.get(i, 0.0) + g * g
+    return {i: weight(i) for i in z}

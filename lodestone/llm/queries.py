@@ -26,7 +26,7 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.read(warc.write(table(spark, sf_dir, "pages")))
+    return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("record_id")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,10 +110,8 @@ SELECT page_id, n::BIGINT AS payload_bytes,
   translate(concat({parts}), '0123456789ABCDEFGHIJKLMNOPQRSTUV', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567') AS payload_digest,
   CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
   CASE WHEN page_id <> first_id THEN first_id END AS refers_to,
-  concat('<urn:uuid:', substr(m, 1, 8), '-', substr(m, 9, 4), '-', substr(m, 13, 4), '-', substr(m, 17, 4), '-', substr(m, 21, 12), '>') AS record_id,
   TRUE AS verified
-FROM (SELECT f.*, md5(concat(page_id, '|', replace(replace(coalesce(url, ''), chr(13), '%0D'), chr(10), '%0A'), '|',
-  CASE WHEN page_id = first_id AND count(*) OVER (PARTITION BY h) > 1 THEN 1 ELSE 0 END)) AS m FROM f JOIN pages USING (page_id)) f
+FROM f
 """.replace("{parts}", ", ".join(f"to_base(('0x' || substr(h, {5 * i + 1}, 5))::BIGINT, 32, 4)" for i in range(8)))
 
 OP7_SQL = """

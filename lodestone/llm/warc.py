@@ -5,9 +5,9 @@ and the exact header block of every record. `read` checks each stored payload ag
 address and its SHA-1 again and joins headers to payloads; `reconstruct` gives every
 record's bytes back, `parse` splits such bytes, and `export` writes plain .warc files.
 
-A null html is an empty payload. Rows of equal page_id are records of their own; among
-equal payloads the least page_id is the response, and of rows that share it the one of
-the least url. A null page_id comes after all others. Line breaks in a url are escaped.
+A null html is an empty payload. Rows of equal page_id are records of their own, with ids of
+their own; among equal payloads the least page_id is the response, and of rows that share it
+the one of the least url, then the first read. A null page_id comes after all others. Line breaks in a url are escaped.
 An empty table gives an archive without records.
 """
 
@@ -15,9 +15,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.llm.common import saved
 from lodestone.session import shared_dir
 
 CRLF = "\r\n"
@@ -67,28 +68,27 @@ def write(pages: DataFrame, path: str | None = None, min_bytes: int = 0, date: s
     # Bytes leave the map side once per digest and task; the rest of the plan is small.
     records.groupBy("sha256").agg(F.first("payload").alias("payload")).write.parquet(f"{path}/payloads")
 
-    facts = records.select(
-        "page_id", "url", "sha256", F.octet_length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("sha1")
+    # Written, so that row numbers are the same wherever they are used.
+    facts = saved(
+        records.select(
+            "page_id", "url", "sha256", F.octet_length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("sha1"), F.monotonically_increasing_id().alias("row")
+        ),
+        "warc-facts",
     )
     last = F.coalesce("page_id", F.lit((1 << 63) - 1))
     several = (
         facts.where(F.col("n") >= min_bytes)
         .groupBy("sha256")
-        .agg(F.count("*").alias("copies"), F.min(F.struct(last.alias("k"), "page_id", "url")).alias("first"))
+        .agg(F.count("*").alias("copies"), F.min(F.struct(last.alias("k"), "page_id", "url", "row")).alias("first"))
         .where("copies > 1")
         .select("sha256", "first")
     )
-    known = facts.join(several, "sha256", "left")
-    # Rows that repeat the first one's page_id and url wholly: one of them stays a response.
-    same = F.col("first").isNotNull() & F.col("page_id").eqNullSafe(F.col("first.page_id")) & (F.col("url") == F.col("first.url"))
-    ties = known.where(same).withColumn("tie", F.row_number().over(Window.partitionBy("sha256", "page_id", "url").orderBy(F.lit(1))))
-    rest = known.where(~same).withColumn("tie", F.lit(0))
-    typed = ties.unionByName(rest).withColumn("revisit", F.col("first").isNotNull() & (F.col("tie") != 1))
+    typed = facts.join(several, "sha256", "left").withColumn("revisit", F.col("first").isNotNull() & (F.col("row") != F.col("first.row")))
     header = F.concat(
         F.lit("WARC/1.1" + CRLF + "WARC-Type: "),
         F.when(F.col("revisit"), "revisit").otherwise("response"),
         F.lit(CRLF + "WARC-Record-ID: "),
-        _uuid(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "url", "tie")),
+        _uuid(F.concat_ws("|", F.coalesce(F.col("page_id").cast("string"), F.lit("null")), "url", F.hex("sha256"), "row")),
         F.lit(CRLF + f"WARC-Date: {date}" + CRLF + "WARC-Target-URI: "),
         F.col("url"),
         F.lit(CRLF + "WARC-Payload-Digest: sha1:"),

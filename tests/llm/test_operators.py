@@ -157,19 +157,21 @@ def test_decontamination_of_many_items(spark, monkeypatch):
 
 def test_archive(spark):
     rows = [(1, "http://a", "<p>é</p>"), (2, "http://b", "<p>é</p>"), (3, None, None), (4, "x\ny", ""), (None, "n", "z"), (7, "same", "q"), (7, "same", "q")]
-    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    rows += [(7, "same", "other"), (2, "http://b", "<p>é</p>"), (None, None, None)]
+    pages = spark.createDataFrame([(*r, 1, "x") for r in rows], "page_id long, url string, html string, n int, sha256 string").repartition(2)
     archive = warc.write(pages)
     got = warc.read(archive).collect()
-    assert all(r.verified for r in got) and len(got) == 7
+    assert all(r.verified for r in got) and len(got) == 10 and len({r.record_id for r in got}) == 10
     by = {r.page_id: r for r in got}
     import base64
 
     assert by[1].payload_digest == base64.b32encode(hashlib.sha1("<p>é</p>".encode()).digest()).decode() and by[1].payload_bytes == 9
     assert (by[1].record_type, by[2].record_type, by[2].refers_to, by[4].refers_to) == ("response", "revisit", 1, 3)
-    assert sorted(r.record_type for r in got if r.page_id == 7) == ["response", "revisit"]
+    assert sorted(r.record_type for r in got if r.page_id == 7) == ["response", "response", "revisit"]
+    assert [r.refers_to for r in got if r.record_type == "revisit"].count(3) == 2
     records = {r.page_id: warc.parse(bytes(r.record)) for r in warc.reconstruct(archive).collect()}
     assert records[1][1] == "<p>é</p>".encode() and records[2][1] == b"" and records[4][0]["WARC-Target-URI"] == "x%0Ay"
-    assert archive.payloads.count() == 4
+    assert archive.payloads.count() == 5
     whole = warc.read(warc.write(pages, min_bytes=2)).where("page_id in (3, 4, 7)").collect()
     assert {r.record_type for r in whole} == {"response"}
     assert warc.read(warc.write(pages.limit(0))).count() == 0
@@ -196,6 +198,19 @@ def test_quality(spark):
     kept = quality.keep(docs, weights)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, s in got.items() if s >= 0.5}
     assert {r.score for r in quality.score(docs, quality.fit(docs, labels.limit(0))).collect()} == {0.5}
+    # against plain updates in the order of the sample, a document labelled twice with both
+    from pyspark.sql import functions as F
+
+    some = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(7, 0), (500, 1), (501, 0)], "doc_id long, label int")
+    ordered = docs.join(some, "doc_id").orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id", "label", "text").collect()
+    plain = quality.brute([(r.text, r.label) for r in ordered])
+    learned = quality.fit(docs, some)
+    assert {i: learned[i] for i in plain} == pytest.approx(plain, abs=1e-5) and np.count_nonzero(learned) == sum(v != 0 for v in plain.values())
+    w = np.zeros((1 << quality.BITS) + 1)
+    w[list(plain)] = list(plain.values())
+    for r in quality.score(docs, learned).collect():
+        slots = quality.features(*[(x, np.array([0, len(x)])) for x in [np.frombuffer((dict(rows)[r.doc_id] or "").encode(), np.uint8)]][0])[0]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-(w[-1] + w[slots].sum() * quality.SCALE / max(1, len(slots))))), abs=1e-5)
     data = np.frombuffer("Ab!! ab c--d".encode(), np.uint8)
     assert len(quality.features(data, np.array([0, len(data)]))[0]) == 3 * len(quality.tokens("Ab!! ab c--d")) == 18
 
@@ -207,6 +222,13 @@ def test_language(spark):
     data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
     assert model.phrases(data, offsets).tolist() == [[language.brute(t, s) for s in samples.values()] for t in texts]
     rng = random.Random(4)
+    # phrases go on across the places where long texts are cut
+    sample = bytes(rng.choice(b"abc ") for _ in range(3000))
+    model = language.Model({"long": sample, "other": sample[::-1][:900], "one": b"a" * 700})
+    texts = [sample[100:2900], sample[5:1400] + sample[900:2500], b"a" * 5000, bytes(rng.choice(b"abcd ") for _ in range(4000)), b"zz" * 600, sample * 3]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0] + [len(t) for t in texts])
+    want = [[language.brute(t, s) for s in (sample, b"a" * 700, sample[::-1][:900])] for t in texts]
+    assert model.phrases(data, offsets).tolist() == want and want[0][0] == 1 and want[2][1] == 8
     make = lambda k: " ".join(rng.choice({"x": ["the", "and", "of", "with"], "y": ["der", "und", "mit", "von"]}[k]) + rng.choice("abc") for _ in range(30))
     rows = [(i, make("xy"[i % 2]), "xy"[i % 2]) for i in range(60)] + [(100, None, "x"), (101, "12 !", "y"), (102, make("x"), None), (103, make("y") * 300, "y")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
@@ -216,6 +238,24 @@ def test_language(spark):
     assert {r.lang_pred for r in language.predict(docs, language.fit(docs.limit(0))).collect()} == {"und"}
 
 
+def test_language_ties_and_clashes(spark):
+    """Equal samples: the lesser name wins with score 0.5; predictions of whole texts agree with
+    plain parsing; columns named like the operator's own pass by."""
+    rng = random.Random(14)
+    text = lambda n: " ".join(rng.choice(["un", "deux", "trois", "quatre", "cinq"]) for _ in range(n))
+    same, other = text(200), "".join(rng.choice("abcdefgh ") for _ in range(900))
+    rows = [(1, same, "b"), (2, same, "a"), (3, other, "c"), (4, text(3000), None), (5, other[50:800] * 4, None), (6, "", None), (7, None, "a"), (4, "un", None)]
+    docs = spark.createDataFrame([(*r, 0, "x", 1) for r in rows], "doc_id long, text string, lang string, key int, letters string, h int")
+    samples = language.fit(docs.where("lang is not null"), sample_bytes=2048)
+    assert samples["a"] == samples["b"]
+    got = sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in language.predict(docs, samples).collect())
+    want = []
+    for d, t, *_ in rows:
+        cost = sorted((language.brute((t or "").encode(), s) * math.log2(len(s)), k) for k, s in samples.items())
+        want.append((d, cost[0][1], round(cost[1][0] / (cost[0][0] + cost[1][0]), 9)) if t else (d, "und", 0.0))
+    assert got == sorted(want) and (2, "a", 0.5) in got and {x for _, x, _ in got} == {"a", "c", "und"}
+
+
 def test_many_languages(spark):
     """Every language is learned, and slices of languages agree with one model of all."""
     rng = random.Random(8)
