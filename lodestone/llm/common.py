@@ -50,4 +50,14 @@ def saved(df: DataFrame, kind: str) -> DataFrame:
     """The rows written to the shared folder and read again: lineage ends, executors may go."""
     path = shared_dir(df.sparkSession, kind)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._saved_at = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Deletes the files of saved rows that nothing will read again."""
+    for df in frames:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path(df._saved_at)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

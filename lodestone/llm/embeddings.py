@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import kernels as K
-from lodestone.llm.common import saved
+from lodestone.llm.common import dropped, saved
 from lodestone.llm.graph import components, settled, union
 
 LAST = (1 << 63) - 1
@@ -437,6 +437,7 @@ def group(vectors: DataFrame, threshold: float = 0.9, per_block: int | None = No
     work = trees.select("block", "tree").join(grouped, "block").join(tasks, "group").select("place", "i", "j", "group", "block", "tree")
     work = work.repartitionById(max(1, min(PARTS, len(pairs))), F.col("place")).sortWithinPartitions("i", "j", "group", "block").drop("place")
     out = saved(work.mapInArrow(compare(threshold), "a long, b long, n long"), "vector-links")
+    dropped(trees)
 
     counts, edges = out.where("b is null").select("a", "n"), out.where("b is not null").select("a", "b")
     if whole:

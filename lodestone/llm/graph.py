@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import saved
+from lodestone.llm.common import dropped, saved
 
 #: A hub's neighbours meet its least one in so many places.
 SALT = 8
@@ -95,11 +95,14 @@ def components(edges: DataFrame, kind: str = "links") -> DataFrame:
         large = dealt.join(least, ["a", "salt"]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         small = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(small, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        e = saved(joined.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), kind)
+        old, e = e, saved(joined.unionByName(small.select("a", F.col("m").alias("b"))).distinct(), kind)
+        dropped(old)
         now = e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
         before = now
-    return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
+    out = e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         e.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+    out._saved_at = e._saved_at
+    return out

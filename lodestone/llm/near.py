@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import kernels as K
 from lodestone.llm import repeats as R
-from lodestone.llm.common import PARTS, dealt, parts_for, saved
+from lodestone.llm.common import PARTS, dealt, dropped, parts_for, saved
 from lodestone.llm.graph import Forest, components
 
 U = np.uint64
@@ -287,15 +287,19 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int)
     sets = saved(sets_of(wanted, docs, width), "near-sets")
     left = pairs.join(sets.select(F.col("cid").alias("a"), F.col("items").alias("x")), "a")
     both = left.join(sets.select(F.col("cid").alias("b"), F.col("items").alias("y")), "b").select("a", "b", "x", "y")
-    return saved(both.mapInArrow(linked, "a long, b long"), "near-links")
+    links = saved(both.mapInArrow(linked, "a long, b long"), "near-links")
+    dropped(sets)
+    return links
 
 
 def settled(forest: DataFrame, placed: DataFrame, classes: DataFrame, docs: DataFrame, width: int, shards: int, per_block: int) -> DataFrame:
     """Links of candidate clusters, the components of the forest. Members of a cluster's largest
     component and the rest are cut into blocks of per_block, -1, -2, ... and 0, 1, ...; each two
     blocks of which one at least is of the rest are a task of their own."""
-    clusters = components(forest, "near-forest").withColumnsRenamed({"node": "cid", "component": "cluster"})
+    found = components(forest, "near-forest")
+    clusters = found.withColumnsRenamed({"node": "cid", "component": "cluster"})
     known = saved(clusters.join(placed, "cid", "left").select("cluster", "cid", F.coalesce("component", "cid").alias("component")), "near-clusters")
+    dropped(found)
     per = known.groupBy("cluster", "component").agg(F.count("*").alias("n"))
     sized = per.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), F.count("*").alias("kinds"))
     cut = lambda n: F.ceil(n / F.lit(per_block)).cast("int")
@@ -318,7 +322,9 @@ def settled(forest: DataFrame, placed: DataFrame, classes: DataFrame, docs: Data
         .select("cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "cid", "component", "n", "sig", "items")
     )
     dealt_ = rows.repartition(shards, "cluster", "low", "high").sortWithinPartitions("cluster", "low", "high", "cid")
-    return saved(dealt_.mapInArrow(settle, "a long, b long"), "near-links")
+    links = saved(dealt_.mapInArrow(settle, "a long, b long"), "near-links")
+    dropped(known, sized)
+    return links
 
 
 def group(docs: DataFrame, width: int = 5, per_block: int = 512) -> DataFrame:
@@ -341,9 +347,12 @@ def group(docs: DataFrame, width: int = 5, per_block: int = 512) -> DataFrame:
 
     best = found.where("kind = 1").groupBy("a", "b").agg(F.sum("n").alias("n"))
     best = best.groupBy("a").agg(F.max(F.struct("n", -F.col("b"))).alias("x")).select("a", (-F.col("x.col2")).alias("b"))
-    links = verified(saved(best, "near-best"), classes, docs, width)
+    best = saved(best, "near-best")
+    links = verified(best, classes, docs, width)
+    dropped(best)
 
-    part = components(links, "near-components").withColumnRenamed("node", "cid")
+    first = components(links, "near-components")
+    part = first.withColumnRenamed("node", "cid")
     members = found.where("kind = 0").select(F.col("a").alias("bucket"), F.col("b").alias("cid"))
     placed = members.join(part, "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
@@ -354,8 +363,9 @@ def group(docs: DataFrame, width: int = 5, per_block: int = 512) -> DataFrame:
         .sortWithinPartitions("bucket", "cid")
         .mapInArrow(apart, "a long, b long")
     )
-    links = links.unionByName(settled(forest, part, classes, docs, width, parts, per_block))
-    part = components(links, "near-components").withColumnRenamed("node", "cid")
+    more = settled(forest, part, classes, docs, width, parts, per_block)
+    part = components(links.unionByName(more), "near-components").withColumnRenamed("node", "cid")
+    dropped(found, first, links, more)
 
     owner = classes.select("f1", "f2", "cid", "least").join(part, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     # Written, so that the join of a large component is dealt by its own, splittable shuffle.

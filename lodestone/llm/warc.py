@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import saved
+from lodestone.llm.common import dropped, saved
 from lodestone.session import shared_dir
 
 CRLF = "\r\n"
@@ -106,6 +106,7 @@ def write(pages: DataFrame, path: str | None = None, min_bytes: int = 0, date: s
         F.lit(CRLF + CRLF),
     )
     typed.select("page_id", "sha256", header.cast("binary").alias("header")).write.parquet(f"{path}/headers")
+    dropped(facts)
     return Archive(spark, path)
 
 
