@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontaminate, mixing, near, quality, substring
-from lodestone.llm.common import fold, saved, table
+from lodestone.llm.common import dropped, fold, saved, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,8 +68,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each result is written as Parquet, read again and
+    deleted after the next."""
+    docs, old = table(spark, sf_dir, "documents"), []
     for _, stage in STAGES[:-1]:
         docs = saved(stage(spark, docs, sf_dir), "pipeline")
+        dropped(*old)
+        old = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
