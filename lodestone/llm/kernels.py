@@ -85,25 +85,24 @@ def spot_hashes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, both:
     so no pattern of repeated bytes makes different strings collide, as polynomials modulo a
     power of two allow.
     """
-    lengths = np.asarray(lengths, np.int64)
-    out = []
+    starts, lengths = np.asarray(starts, np.int64), np.asarray(lengths, np.int64)
+    out = tuple(np.zeros(len(lengths), U) for _ in range(2 if both else 1))
     full = np.flatnonzero(lengths > 0)
-    first = (np.cumsum(lengths) - lengths)[full]
-    at = ranges(starts, lengths)
-    place = np.arange(len(at)) - np.repeat(first, lengths[full])
-    byte = data[at]
-    far = np.flatnonzero(place >= PLACES)
-    spot = np.minimum(place, PLACES - 1) * 256 + byte
-    for table, salt in zip(SPOTS[: 2 if both else 1], (0x9E6C63D0876A9A63, 0xB5AD4ECEDA1CE2A9), strict=False):
-        value = table[spot]
-        if len(far):
-            with np.errstate(over="ignore"):
-                value[far] = mix(BYTE_VALUES[byte[far]] ^ (place[far].astype(U) * U(salt)))
-        h = np.zeros(len(lengths), U)
-        if len(full):
-            h[full] = np.add.reduceat(value, first)
-        out.append(mix(h + lengths.astype(U)))
-    return tuple(out)
+    bounds = np.concatenate(([0], np.cumsum(lengths[full])))
+    for a, b in chunks(bounds, 1 << 17):  # a few hundred kilobytes stay in the cache
+        own = full[a:b]
+        size, first = lengths[own], bounds[a:b] - bounds[a]
+        place = np.arange(int(bounds[b] - bounds[a])) - np.repeat(first, size)
+        byte = data[place + np.repeat(starts[own], size)]
+        far = np.flatnonzero(place >= PLACES)
+        spot = np.minimum(place, PLACES - 1) * 256 + byte
+        for h, table, salt in zip(out, SPOTS, (0x9E6C63D0876A9A63, 0xB5AD4ECEDA1CE2A9), strict=False):
+            value = table[spot]
+            if len(far):
+                with np.errstate(over="ignore"):
+                    value[far] = mix(BYTE_VALUES[byte[far]] ^ (place[far].astype(U) * U(salt)))
+            h[own] = np.add.reduceat(value, first)
+    return tuple(mix(h + lengths.astype(U)) for h in out)
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

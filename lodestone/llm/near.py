@@ -183,9 +183,9 @@ def sizes_allow(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of a partition's candidates: pairs of a bucket in different
-    components that sizes and minhashes allow to be linked. Members of the bucket's largest
-    component are compared with the others only."""
+    """A spanning forest of a partition's candidate components: those of pairs of a bucket in
+    different components that sizes and minhashes allow to be linked. Members of the bucket's
+    largest component are compared with the others only."""
     found = Forest()
     for t in K.whole_groups(batches, ["bucket"]):
         bucket, cid, comp, n = (t.column(c).to_numpy() for c in ("bucket", "cid", "component", "n"))
@@ -206,7 +206,7 @@ def apart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                         g, h = u[s : s + (1 << 16)], v[s : s + (1 << 16)]
                         hit = (sig[g] == sig[h]).sum(1) >= AGREE
                         if hit.any():
-                            found.add(cid[g[hit]], cid[h[hit]])
+                            found.add(comp[g[hit]], comp[h[hit]])
     yield from found.batches()
 
 
@@ -252,7 +252,7 @@ def full_sets(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.text_bytes(batch.column("text"))
-            for a, b in K.chunks(offsets, 4 * K.CHUNK):
+            for a, b in K.chunks(offsets):
                 sets = shingle_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
                 blobs = K.binaries(np.concatenate(sets), np.array([len(x) for x in sets]))
                 yield pa.RecordBatch.from_arrays([batch.column("cid").slice(a, b - a), blobs], ["cid", "items"])
@@ -292,13 +292,14 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, width: int)
     return links
 
 
-def settled(forest: DataFrame, placed: DataFrame, classes: DataFrame, docs: DataFrame, width: int, shards: int, per_block: int) -> DataFrame:
-    """Links of candidate clusters, the components of the forest. Members of a cluster's largest
+def settled(forest: DataFrame, members: DataFrame, classes: DataFrame, docs: DataFrame, width: int, shards: int, per_block: int) -> DataFrame:
+    """Links of candidate clusters, which the forest joins of components, among the members
+    (cid, component) of open buckets. Members of a cluster's largest
     component and the rest are cut into blocks of per_block, -1, -2, ... and 0, 1, ...; each two
     blocks of which one at least is of the rest are a task of their own."""
     found = components(forest, "near-forest")
-    clusters = found.withColumnsRenamed({"node": "cid", "component": "cluster"})
-    known = saved(clusters.join(placed, "cid", "left").select("cluster", "cid", F.coalesce("component", "cid").alias("component")), "near-clusters")
+    clusters = found.withColumnsRenamed({"node": "component", "component": "cluster"})
+    known = saved(members.join(clusters, "component").select("cluster", "cid", "component"), "near-clusters")
     dropped(found)
     per = known.groupBy("cluster", "component").agg(F.count("*").alias("n"))
     sized = per.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("members"), F.count("*").alias("kinds"))
@@ -356,16 +357,18 @@ def group(docs: DataFrame, width: int = 5, per_block: int = 512) -> DataFrame:
     members = found.where("kind = 0").select(F.col("a").alias("bucket"), F.col("b").alias("cid"))
     placed = members.join(part, "cid", "left").select("bucket", "cid", F.coalesce("component", "cid").alias("component"))
     mixed = placed.groupBy("bucket").agg(F.min("component").alias("p"), F.max("component").alias("q")).where("p <> q")
-    open_ = placed.join(mixed.select("bucket"), "bucket").join(classes.select("cid", "n", "sig"), "cid")
+    open_ = saved(placed.join(mixed.select("bucket"), "bucket"), "near-open")
     forest = (
-        open_.select("bucket", "cid", "component", "n", "sig")
+        open_.join(classes.select("cid", "n", "sig"), "cid")
+        .select("bucket", "cid", "component", "n", "sig")
         .repartition(parts, "bucket")
         .sortWithinPartitions("bucket", "cid")
         .mapInArrow(apart, "a long, b long")
     )
-    more = settled(forest, part, classes, docs, width, parts, per_block)
+    members = open_.select("cid", "component").distinct()
+    more = settled(forest, members, classes, docs, width, parts, per_block)
     part = components(links.unionByName(more), "near-components").withColumnRenamed("node", "cid")
-    dropped(found, first, links, more)
+    dropped(found, first, open_, links, more)
 
     owner = classes.select("f1", "f2", "cid", "least").join(part, "cid", "left").withColumn("component", F.coalesce("component", "cid"))
     # Written, so that the join of a large component is dealt by its own, splittable shuffle.
