@@ -298,7 +298,7 @@ def settled(forest: DataFrame, members: DataFrame, classes: DataFrame, docs: Dat
     component and the rest are cut into blocks of per_block, -1, -2, ... and 0, 1, ...; each two
     blocks of which one at least is of the rest are a task of their own."""
     found = components(forest, "near-forest")
-    clusters = found.withColumnsRenamed({"node": "component", "component": "cluster"})
+    clusters = found.select(F.col("node").alias("component"), F.col("component").alias("cluster"))
     known = saved(members.join(clusters, "component").select("cluster", "cid", "component"), "near-clusters")
     dropped(found)
     per = known.groupBy("cluster", "component").agg(F.count("*").alias("n"))
