@@ -155,10 +155,7 @@ def finish(width: int, carried: str, texts: bool, originals: bool = False) -> Ca
         for batch in batches:
             data, offsets = K.text_bytes(batch.column("text"))
             spans = batch.column("spans")
-            n_words = np.zeros(batch.num_rows, np.int64)
-            n_removed = np.zeros(batch.num_rows, np.int64)
-            out = []
-            for a, b in K.chunks(offsets):
+            for a, b in K.chunks(offsets, 4 * K.CHUNK):
                 part = data[offsets[a] : offsets[b]]
                 w = K.Words(part, offsets[a : b + 1] - offsets[a])
                 starts, ends = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
@@ -169,17 +166,18 @@ def finish(width: int, carried: str, texts: bool, originals: bool = False) -> Ca
                         ends.append(s["start"] + s["count"] + width - 1 + w.rows[i - a])
                 gone = K.covered(np.concatenate(starts), np.concatenate(ends), len(w))
                 total = np.concatenate(([0], np.cumsum(gone)))
-                n_words[a:b], n_removed[a:b] = np.diff(w.rows), np.diff(total[w.rows])
+                n_words, n_removed = np.diff(w.rows), np.diff(total[w.rows])
                 kept, bounds = kept_words(part, w, gone)
-                raw = kept.tobytes()
+                raw, out = kept.tobytes(), []
                 for i in range(b - a):
                     one = raw[bounds[i] : bounds[i + 1]]
                     one = one[:-1] if one.endswith(b" ") else one
                     out.append(one.decode() if texts else hashlib.sha256(one).hexdigest())
-            kept = pa.array(out, pa.string())
-            if originals:
-                kept = pc.if_else(pa.array(n_removed > 0), kept, batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column(carried), pa.array(n_words), pa.array(n_removed), kept], [carried, "n_words", "n_removed", "text" if originals else "kept"])
+                left = pa.array(out, pa.string())
+                if originals:
+                    left = pc.if_else(pa.array(n_removed > 0), left, batch.column("text").slice(a, b - a))
+                columns = [batch.column(carried).slice(a, b - a), pa.array(n_words), pa.array(n_removed), left]
+                yield pa.RecordBatch.from_arrays(columns, [carried, "n_words", "n_removed", "text" if originals else "kept"])
 
     return run
 

@@ -803,22 +803,24 @@ def finish(width: int) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = K.text_bytes(batch.column("text"))
-            spans = batch.column("spans")
-            removed, runs = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows, np.int64)
-            kept = []
-            for i in range(batch.num_rows):
-                part = data[offsets[i] : offsets[i + 1]]
-                if (s := spans[i].as_py()) is not None:
-                    s = np.frombuffer(b"".join(s), SPAN)
-                    gone = K.covered(s["start"], s["start"] + s["count"] + width - 1, len(part))
-                    removed[i] = gone.sum()
-                    runs[i] = np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0]
-                    part = part[~gone]
-                kept.append(part.tobytes())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").cast(pa.int64()), pa.array(np.diff(offsets)), pa.array(removed), pa.array(runs), pa.array(kept, pa.binary()), pa.array([hashlib.sha256(x).hexdigest() for x in kept])],
-                ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
-            )
+            ids, spans = batch.column("doc_id").cast(pa.int64()), batch.column("spans")
+            for a, b in K.chunks(offsets, 4 * K.CHUNK):
+                removed, runs = np.zeros(b - a, np.int64), np.zeros(b - a, np.int64)
+                kept = []
+                for i in range(a, b):
+                    part = data[offsets[i] : offsets[i + 1]]
+                    if (s := spans[i].as_py()) is not None:
+                        s = np.frombuffer(b"".join(s), SPAN)
+                        gone = K.covered(s["start"], s["start"] + s["count"] + width - 1, len(part))
+                        removed[i - a] = gone.sum()
+                        runs[i - a] = np.count_nonzero(gone[1:] & ~gone[:-1]) + gone[0]
+                        part = part[~gone]
+                    kept.append(part.tobytes())
+                digests = pa.array([hashlib.sha256(x).hexdigest() for x in kept])
+                yield pa.RecordBatch.from_arrays(
+                    [ids.slice(a, b - a), pa.array(np.diff(offsets[a : b + 1])), pa.array(removed), pa.array(runs), pa.array(kept, pa.binary()), digests],
+                    ["doc_id", "n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"],
+                )
 
     return run
 
