@@ -2,8 +2,9 @@
 
 `top_k` matches query blocks with whole Arrow batches of vectors by matrix products and
 lets only each batch's best leave the task; queries are broadcast in slices of bounded
-size. `top_k_sql` is the same as a plan of built-in expressions, for vectors whose
-lengths differ (then the common prefix counts, for norms too).
+size, of which the driver holds one at a time. `top_k_any` takes vectors of any lengths: those as long as the queries go that
+way, the rest by `top_k_sql`, the same as a plan of built-in expressions (where
+lengths differ the common prefix counts, for norms too).
 """
 
 from __future__ import annotations
@@ -46,10 +47,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
-def _best(ids: np.ndarray, matrix: np.ndarray, k: int):
-    norms = np.sqrt((matrix * matrix).sum(1))
-
+def _best(shared, k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, matrix = shared.value
+        norms = np.sqrt((matrix * matrix).sum(1))
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
@@ -88,5 +89,23 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, dim: int) -> DataFrame
         rows = part.toArrow()
         ids = rows.column("query_id").to_numpy()
         matrix = _matrix(rows.column("embedding").combine_chunks()) if len(ids) else np.zeros((0, dim))
-        found.append(v.mapInArrow(_best(ids, matrix, k), RESULT))
+        found.append(v.mapInArrow(_best(q.sparkSession.sparkContext.broadcast((ids, matrix)), k), RESULT))
     return ranked(reduce(DataFrame.unionByName, found), k)
+
+
+def top_k_any(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """As top_k_sql, by matrix products wherever lengths agree."""
+    spark = vectors.sparkSession
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").cast("array<double>").alias("embedding"))
+    plain = lambda e: F.coalesce(F.size(e) > 0, F.lit(False)) & F.forall(e, lambda x: x.isNotNull())
+    dims = [r.n for r in q.where(plain("embedding")).select(F.size("embedding").alias("n")).distinct().collect()]
+    odd = q.where(~F.coalesce(plain("embedding"), F.lit(False)))
+    found = [spark.createDataFrame([], "query_id long, rank int, ord long, score double")]
+    for dim in dims if k > 0 else ():
+        mine = plain("embedding") & (F.size("embedding") == dim)
+        found.append(top_k(vectors.where(mine), q.where(mine), k, dim))
+        rest = vectors.where(~F.coalesce(mine, F.lit(False)))
+        found.append(top_k_sql(rest, q.where(mine), k))
+    if k > 0:
+        found.append(top_k_sql(vectors, odd, k))
+    return ranked(reduce(DataFrame.unionByName, found).drop("rank"), k)

@@ -76,13 +76,26 @@ class OpenAICompatEmbedder:
         return [d["embedding"] for d in answer["data"]]
 
 
+@dataclass(frozen=True)
+class LetterEmbedder:
+    """Counts of some characters and a constant: a stand-in that needs no model."""
+
+    letters: str = "aeiou "
+
+    def embed_batch(self, texts: list[str]) -> list[list[float]]:
+        return [[*(float(t.count(c)) for c in self.letters), 1.0] for t in texts]
+
+
 def hashed(text: Column, dim: int = 64) -> Column:
     """Token counts by md5 bucket: a deterministic stand-in that needs no model."""
     bucket = lambda t: F.conv(F.substring(F.md5(t.cast("binary")), 1, 8), 16, 10).cast("long") % dim
 
     @F.pandas_udf("array<double>")
     def counts(buckets: pd.Series) -> pd.Series:
-        return buckets.map(lambda x: np.bincount(x, minlength=dim).astype(float))
+        sizes = buckets.map(len).to_numpy()
+        flat = np.concatenate([np.zeros(0, np.int64), *buckets])
+        counts = np.bincount(np.repeat(np.arange(len(sizes)), sizes) * dim + flat, minlength=len(sizes) * dim)
+        return pd.Series(list(counts.reshape(len(sizes), dim).astype(float)))
 
     return counts(F.transform(tokenize(text), bucket))
 

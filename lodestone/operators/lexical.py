@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import tokenize
+from lodestone.session import kept
 
 
 @dataclass(frozen=True)
@@ -31,6 +32,10 @@ class Bm25Index:
         self.lengths.write.mode("overwrite").parquet(f"{path}/lengths")
         self.stats.write.mode("overwrite").parquet(f"{path}/stats")
 
+    def kept(self) -> Bm25Index:
+        """The index written once to the shared folder, for several searches."""
+        return Bm25Index(kept(self.postings, "postings"), kept(self.lengths, "lengths"), kept(self.stats, "stats"))
+
     @classmethod
     def load(cls, spark, path: str) -> Bm25Index:
         return cls(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "lengths", "stats")))
@@ -63,9 +68,14 @@ def idf(n: Column, df: Column) -> Column:
 
 def build_index(docs: DataFrame) -> Bm25Index:
     """Of docs (doc_ord, text), where doc_ord is unique and gives the order of ties."""
-    tf = term_frequency(docs)
+    tokens = docs.select("doc_ord", tokenize(F.col("text")).alias("tokens"))
+    # The length goes along, so that no join has to bring it. An outer explode, since for an inner
+    # one the optimizer would tokenise once more to filter empty rows at the scan.
+    terms = tokens.select("doc_ord", F.size("tokens").cast("long").alias("len"), F.explode_outer("tokens").alias("term")).where("term is not null")
+    # Written, so that frequencies are counted from terms alone and not from the texts again.
+    tf = kept(terms.groupBy("doc_ord", "len", "term").agg(F.count("*").alias("tf")), "terms")
+    postings = tf.join(document_frequency(tf), "term")
     lengths = document_lengths(docs)
-    postings = tf.join(document_frequency(tf), "term").join(lengths, "doc_ord")
     return Bm25Index(postings.select("term", "doc_ord", "tf", "len", "df"), lengths, corpus_stats(lengths))
 
 

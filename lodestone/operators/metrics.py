@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -72,3 +73,8 @@ def markdown(cards: DataFrame) -> str:
     names = cards.columns
     lines = ["| " + " | ".join(names) + " |", "|---|" + "---:|" * (len(names) - 1)]
     return "\n".join(lines + ["| " + " | ".join([r[0], *[f"{x:.3f}" for x in r[1:]]]) + " |" for r in rows])
+
+
+def record(cards: DataFrame, **facts) -> str:
+    """The summary as one JSON document: the given facts, then the methods with all figures."""
+    return json.dumps(facts | {"methods": [r.asDict() for r in cards.collect()]}, ensure_ascii=False, indent=2)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.operators import chunking, embedders, fusion
+from lodestone.operators.order import numbered
 from lodestone.operators.rerank import RerankOptions, rerank
 from lodestone.sources.files import read_texts
 from lodestone.sources.store import ChunkStore
@@ -16,12 +17,9 @@ DENSE, HYBRID = "dense", "hybrid"
 def ingest(spark: SparkSession, folder: str, embedder: embedders.Embedder, max_chars: int = 1200, overlap_chars: int = 150) -> ChunkStore:
     """Chunks of a folder's texts with their vectors, ordered by file name and place."""
     made = chunking.chunk_corpus(read_texts(spark, folder), max_chars, overlap_chars)
-    vectors = embedders.attach(made, embedder)
-    order = F.row_number().over(Window.orderBy("source", "index")) - 1
+    vectors = numbered(embedders.attach(made, embedder), [F.col("source"), F.col("index")], "chunk_ord")
     metadata = F.to_json(F.struct("source", F.col("char_start").alias("charStart"), F.col("char_end").alias("charEnd")))
-    return ChunkStore(
-        vectors.select(F.col("chunk_id").alias("id"), order.cast("long").alias("chunk_ord"), "text", "embedding", metadata.alias("metadata")).cache()
-    )
+    return ChunkStore(vectors.select(F.col("chunk_id").alias("id"), "chunk_ord", "text", "embedding", metadata.alias("metadata")))
 
 
 def pool_size(k: int, pool: int | None) -> int:

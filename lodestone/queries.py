@@ -6,14 +6,18 @@ and rankings are ordered on nine.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import chunking, dense, embedders, fusion, lexical, metrics, rerank
-from lodestone.session import shared_dir
+from lodestone.plans import pipeline
+from lodestone.session import kept, shared_dir, spread
+from lodestone.sources.files import read_jsonl, read_qrels
 from lodestone.sources.store import ChunkStore
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +40,7 @@ def r6(c: Column | str) -> Column:
 
 
 def docs(spark: SparkSession, d: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc_ord"), "text")
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").alias("doc_ord"), "text"))
 
 
 def items(spark: SparkSession, d: str) -> DataFrame:
@@ -153,7 +157,7 @@ VARIANTS = ((1.2, 0.0), (1.2, 1.0), (2.0, 0.5), (0.0, 0.75))
     + " UNION ALL ".join(f"SELECT {i}::INT AS variant, query_id, rank::INT AS rank, doc_ord, round(score, 6) AS score FROM v{i}r WHERE rank <= 5" for i in range(len(VARIANTS)))
 )
 def bm25_k1b_variants(spark: SparkSession, d: str) -> DataFrame:
-    index, q = lexical.build_index(docs(spark, d)), items(spark, d)
+    index, q = lexical.build_index(docs(spark, d)).kept(), items(spark, d)
     out = None
     for i, (k1, b) in enumerate(VARIANTS):
         part = lexical.search(index, q, 5, k1, b).select(F.lit(i).alias("variant"), "query_id", "rank", "doc_ord", r6("score").alias("score"))
@@ -172,13 +176,13 @@ def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
     return a.join(b, F.col("b") == F.col("a") + 1).select("a", "b", r6(dense.cosine(F.col("x"), F.col("y"))).alias("score"))
 
 
-DENSE_TOPK = f"""WITH {NORMS}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS ord, {COS} AS score FROM e a CROSS JOIN e b WHERE a.vec_id % 25 = 0)
+DENSE_TOPK = f"""WITH {NORMS}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS ord, {COS} AS score FROM e a CROSS JOIN e b WHERE a.vec_id % 50 = 0)
 SELECT query_id, rank::INT AS rank, ord, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) AS rank FROM s) WHERE rank <= 10"""
 
 
 def probes(v: DataFrame) -> DataFrame:
-    """The query set: every 25th vector, against all."""
-    return v.where("ord % 25 = 0").select(F.col("ord").alias("query_id"), "embedding")
+    """The query set: every 50th vector, against all."""
+    return v.where("ord % 50 = 0").select(F.col("ord").alias("query_id"), "embedding")
 
 
 @query(DENSE_TOPK)
@@ -285,7 +289,7 @@ CHUNK_OUT = 'SELECT concat(doc_id, \'#\', "index") AS chunk_id, doc_id::VARCHAR
 
 def corpus(spark: SparkSession, d: str, parted: bool = False) -> DataFrame:
     text = F.replace(F.col("text"), F.lit("\n"), F.lit("\n\n")) if parted else F.col("text")
-    return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", text.alias("text"))
+    return spread(spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")).select("doc_id", text.alias("text"))
 
 
 def split_rows(df: DataFrame, size: int, overlap: int) -> DataFrame:
@@ -336,21 +340,32 @@ best AS (SELECT query_id, doc_id, min(rank) AS best FROM bmr JOIN co ON co.ord =
 
 @query(CHUNK_BM25 + " SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY best))::INT AS rank, doc_id::VARCHAR AS id FROM best")
 def chunk_bm25_collapse(spark: SparkSession, d: str) -> DataFrame:
+    # Only the order of ordinals counts: document, then place in it.
     made = chunking.chunk_corpus(corpus(spark, d))
-    order = F.row_number().over(Window.orderBy(F.col("source").cast("long"), "index"))
-    ordered = made.select("chunk_id", "text", order.cast("long").alias("doc_ord"))
-    hits = lexical.search(lexical.build_index(ordered.select("doc_ord", "text")), items(spark, d), 50)
-    return fusion.collapse(hits.join(ordered.select("doc_ord", F.col("chunk_id").alias("id")), "doc_ord").select("query_id", "rank", "id"))
+    order = F.shiftleft(F.col("source").cast("long"), 20) + F.col("index")
+    ordered = kept(made.select("text", order.alias("doc_ord")), "chunks")
+    hits = lexical.search(lexical.build_index(ordered), items(spark, d), 50)
+    chunk = F.concat(F.shiftright("doc_ord", 20).cast("string"), F.lit("#"), F.col("doc_ord").bitwiseAND(F.lit((1 << 20) - 1)).cast("string"))
+    return fusion.collapse(hits.select("query_id", "rank", chunk.alias("id")))
 
 
 QRELS_SQL = "qrels AS (SELECT item_id AS query_id, doc_id AS doc_ord, (1 + doc_id % 2)::DOUBLE AS grade FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
 
+#: Bytes of items that one broadcast may hold.
+ITEMS = 8 << 20
+
+
 def qrels(spark: SparkSession, d: str) -> DataFrame:
-    """(query_id, id, grade): documents that hold an item; the items are matched by blocks
-    of a bounded broadcast, since containment has no key."""
+    """(query_id, id, grade): documents that hold an item. Containment has no key, so every
+    document meets the items, in slices of them that are small enough to broadcast."""
     q = items(spark, d)
-    held = docs(spark, d).join(F.broadcast(q.withColumnRenamed("text", "item")), F.contains("text", "item"))
+    total = q.agg(F.sum(F.octet_length("text") + 16)).first()[0] or 0
+    slices, found = max(1, -(-total // (ITEMS // 2))), []
+    for i in range(slices):
+        part = q.where(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i) if slices > 1 else q
+        found.append(docs(spark, d).join(F.broadcast(part.withColumnRenamed("text", "item")), F.contains("text", "item")))
+    held = reduce(DataFrame.unionByName, found)
     return held.select("query_id", F.col("doc_ord").alias("id"), (1 + F.col("doc_ord") % 2).cast("double").alias("grade"))
 
 
@@ -374,7 +389,7 @@ BM_METRICS = f"WITH {INDEX}, {bm25_sql()}, {QRELS_SQL}, bm100 AS (SELECT * FROM
 
 def bm25_metrics(spark: SparkSession, d: str) -> DataFrame:
     ranking = lexical.search(lexical.build_index(docs(spark, d)), items(spark, d), 100).withColumnRenamed("doc_ord", "id")
-    return metrics.per_query(ranking, qrels(spark, d))
+    return metrics.per_query(ranking, kept(qrels(spark, d), "qrels"))
 
 
 @query(f"{BM_METRICS} SELECT query_id, round(recall_10, 6) AS recall_10, round(recall_100, 6) AS recall_100 FROM m")
@@ -402,7 +417,7 @@ def rounded(cards: DataFrame) -> DataFrame:
 @query(f"{BM_METRICS} SELECT 'BM25' AS method, {CARD} FROM m")
 def scorecard(spark: SparkSession, d: str) -> DataFrame:
     ranking = lexical.search(lexical.build_index(docs(spark, d)), items(spark, d), 100).withColumnRenamed("doc_ord", "id")
-    return rounded(metrics.scorecard("BM25", ranking, qrels(spark, d)))
+    return rounded(metrics.scorecard("BM25", ranking, kept(qrels(spark, d), "qrels")))
 
 
 @query(
@@ -411,15 +426,16 @@ def scorecard(spark: SparkSession, d: str) -> DataFrame:
     + " UNION ALL ".join(f"SELECT '{n}' AS method, {CARD} FROM m{i}" for i, n in ((1, "BM25"), (2, "dense"), (3, "hybrid")))
 )
 def method_grid(spark: SparkSession, d: str) -> DataFrame:
-    near, words = pools(spark, d, 300)
-    return rounded(metrics.grid({"BM25": words, "dense": near, "hybrid": fusion.rrf([near, words])}, qrels(spark, d)))
+    # Rankings and judgments serve several methods: written once.
+    near, words = (kept(p, "pool") for p in pools(spark, d, 300))
+    return rounded(metrics.grid({"BM25": words, "dense": near, "hybrid": fusion.rrf([near, words])}, kept(qrels(spark, d), "qrels")))
 
 
-LABELS = "(SELECT a.vec_id AS query_id, b.vec_id AS doc_ord, 1.0::DOUBLE AS grade FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0)"
+LABELS = "(SELECT a.vec_id AS query_id, b.vec_id AS doc_ord, 1.0::DOUBLE AS grade FROM e a JOIN e b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)"
 
 
 @query(
-    f"WITH {NORMS}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_ord, {COS} AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 25 = 0), "
+    f"WITH {NORMS}, s AS (SELECT a.vec_id AS query_id, b.vec_id AS doc_ord, {COS} AS score FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0), "
     f"r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_ord) AS rank FROM s), qrels AS {LABELS}, r100 AS (SELECT * FROM r WHERE rank <= 100), "
     f"{metric_sql('r100', 'm')} SELECT query_id, round(ndcg, 6) AS ndcg, round(recall_100, 6) AS recall_100 FROM m"
 )
@@ -428,7 +444,7 @@ def graded_ndcg(spark: SparkSession, d: str) -> DataFrame:
     near = dense.top_k(v, probes(v), 101, DIM).where("ord <> query_id")
     order = Window.partitionBy("query_id").orderBy("rank")
     ranking = near.select("query_id", F.row_number().over(order).alias("rank"), F.col("ord").alias("id")).where("rank <= 100")
-    a, b = v.where("ord % 25 = 0").select(F.col("ord").alias("query_id"), "label"), v.select(F.col("ord").alias("id"), "label")
+    a, b = v.where("ord % 50 = 0").select(F.col("ord").alias("query_id"), "label"), v.select(F.col("ord").alias("id"), "label")
     judged = a.join(b, "label").where("id <> query_id").select("query_id", "id", F.lit(1.0).alias("grade"))
     return metrics.per_query(ranking, judged).select("query_id", r6("ndcg").alias("ndcg"), r6("recall_100").alias("recall_100"))
 
@@ -476,3 +492,127 @@ def cli_snippet(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT page_id, CASE WHEN coalesce(url, '') <> '' THEN url || chr(10) || chr(10) || html ELSE html END AS body FROM pages")
 def title_projection(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(f"{d}/pages.parquet").select("page_id", T.body_of(F.col("url"), F.col("html")).alias("body"))
+
+
+LETTERS = embedders.LetterEmbedder()
+
+
+def letters_sql(text: str) -> str:
+    """The vector of a text, as a list."""
+    return "[" + ", ".join(f"(length({text}) - length(replace({text}, '{c}', '')))::DOUBLE" for c in LETTERS.letters) + ", 1.0::DOUBLE]"
+
+
+def letters_cos(a: str, b: str) -> str:
+    return f"list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})))"
+
+
+LETTERS_TOPK = f"""WITH v AS (SELECT doc_id AS ord, {letters_sql("coalesce(text, '')")} AS e FROM documents), q AS (SELECT item_id AS query_id, {letters_sql("coalesce(text, '')")} AS e FROM benchmark),
+s AS (SELECT query_id, ord, {letters_cos("q.e", "v.e")} AS score FROM q CROSS JOIN v), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, ord) AS rank FROM s)"""
+
+
+@query(f"SELECT doc_id, {letters_sql("concat('passage: ', coalesce(text, ''))")}::DOUBLE[] AS embedding FROM documents")
+def attach_with_prefix(spark: SparkSession, d: str) -> DataFrame:
+    """A task prefix goes before every text that is embedded."""
+    made = embedders.attach(docs(spark, d), LETTERS, prefix="passage: ")
+    return made.select(F.col("doc_ord").alias("doc_id"), "embedding")
+
+
+def letter_store(spark: SparkSession, d: str) -> ChunkStore:
+    rows = embedders.attach(docs(spark, d), LETTERS)
+    return ChunkStore(rows.select(F.concat(F.lit("d"), F.col("doc_ord")).alias("id"), F.col("doc_ord").alias("chunk_ord"), "text", "embedding", F.lit(None).cast("string").alias("metadata")))
+
+
+@query(f"{LETTERS_TOPK} SELECT query_id, rank::INT AS rank, concat('d', ord) AS id, round(score, 6) AS score FROM r WHERE rank <= 5")
+def store_search(spark: SparkSession, d: str) -> DataFrame:
+    q = embedders.attach(items(spark, d), LETTERS).select("query_id", "embedding")
+    return letter_store(spark, d).search(q, 5).withColumn("score", r6("score"))
+
+
+@query(f"{LETTERS_TOPK} SELECT query_id, rank::INT AS rank, concat('d', ord) AS id, round(score, 6) AS score FROM r WHERE rank <= 3")
+def ask_small_pool(spark: SparkSession, d: str) -> DataFrame:
+    """A pool smaller than k truncates the answer."""
+    found = pipeline.ask(items(spark, d), letter_store(spark, d), LETTERS, k=5, pool=3)
+    return found.select("query_id", "rank", "id", r6("score").alias("score"))
+
+
+@query(f"WITH {INDEX}, {bm25_sql()} SELECT query_id, rank::INT AS rank, concat('d', doc_ord // 2) AS id, round(score, 6) AS score FROM bmr WHERE rank <= 10")
+def store_keyword_search(spark: SparkSession, d: str) -> DataFrame:
+    """Two chunks share each id; hits keep it."""
+    rows = docs(spark, d).select(
+        F.concat(F.lit("d"), F.expr("doc_ord div 2")).alias("id"), F.col("doc_ord").alias("chunk_ord"), "text", F.array(F.lit(1.0)).alias("embedding"), F.lit(None).cast("string").alias("metadata")
+    )
+    return ChunkStore(rows).keyword_search(items(spark, d), 10).withColumn("score", r6("score"))
+
+
+@query("SELECT concat('d', g) AS id, text FROM (SELECT doc_id // 2 AS g, text, row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id DESC) AS r FROM documents) WHERE r = 1")
+def store_last_of_id(spark: SparkSession, d: str) -> DataFrame:
+    rows = docs(spark, d).select(
+        F.concat(F.lit("d"), F.expr("doc_ord div 2")).alias("id"), F.col("doc_ord").alias("chunk_ord"), "text", F.array(F.lit(1.0)).alias("embedding"), F.lit(None).cast("string").alias("metadata")
+    )
+    return ChunkStore(rows).by_id().select("id", "text")
+
+
+@query("SELECT 0::BIGINT AS dense, 0::BIGINT AS lexical, 0::BIGINT AS keyword, 0::BIGINT AS empty")
+def no_results(spark: SparkSession, d: str) -> DataFrame:
+    """k of 0 or less, and an empty index, give no rows."""
+    v, q = vectors(spark, d), items(spark, d)
+    store = letter_store(spark, d)
+    found = {
+        "dense": dense.top_k(v, probes(v), 0, DIM), "lexical": lexical.search(lexical.build_index(docs(spark, d)), q, -1), "keyword": store.keyword_search(q, 0),
+        "empty": lexical.search(lexical.build_index(docs(spark, d).limit(0)), q, 5),
+    }
+    counts = [f.agg(F.count("*").alias(name)) for name, f in found.items()]
+    return reduce(DataFrame.crossJoin, counts)
+
+
+@query("SELECT vec_id AS ord, 'v' || vec_id AS id, embedding::DOUBLE[] AS embedding, CASE WHEN vec_id % 3 > 0 THEN concat('{\"label\":', label, '}') END AS metadata FROM embeddings")
+def store_json_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    rows = vectors(spark, d).select(
+        F.concat(F.lit("v"), F.col("ord")).alias("id"), F.col("ord").alias("chunk_ord"), F.lit("é\n\"x\"").alias("text"), F.col("embedding").cast("array<double>").alias("embedding"),
+        F.when(F.col("ord") % 3 > 0, F.to_json(F.struct("label"))).alias("metadata"),
+    )
+    path = f"{shared_dir(spark, 'store')}/store.json"
+    ChunkStore(rows).save_json(path)
+    again = ChunkStore.load_json(spark, path).chunks
+    return again.where(F.col("text") == "é\n\"x\"").select(F.col("chunk_ord").alias("ord"), "id", "embedding", "metadata")
+
+
+@query("SELECT doc_id::VARCHAR AS _id, CASE WHEN doc_id % 2 = 0 THEN lang END AS title, text FROM documents")
+def jsonl_scan(spark: SparkSession, d: str) -> DataFrame:
+    source = spark.read.parquet(f"{d}/documents.parquet")
+    path = shared_dir(spark, "jsonl")
+    source.select(F.col("doc_id").cast("string").alias("_id"), F.when(F.col("doc_id") % 2 == 0, F.col("lang")).alias("title"), "text").write.json(path)
+    return read_jsonl(spark, path).select("_id", "title", "text")
+
+
+@query("SELECT item_id::VARCHAR AS query_id, concat('d', item_id % 7) AS id, 2.0::DOUBLE AS grade FROM benchmark")
+def qrels_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Tab-separated judgments: a header, lines that lack a grade, and pairs judged twice."""
+    pair = F.concat_ws("\t", "query_id", F.concat(F.lit("d"), F.col("query_id") % 7))
+    lines = F.concat(F.lit("query-id\tcorpus-id\tscore\r\n"), F.array_join(F.array_sort(F.collect_list(F.concat(pair, F.lit("\t1\r\n"), pair, F.lit("\n\n"), pair, F.lit("\t2")))), "\n"))
+    path = shared_dir(spark, "qrels")
+    items(spark, d).agg(lines.alias("value")).coalesce(1).write.text(path)
+    return read_qrels(spark, path)
+
+
+@query(f"WITH {QRELS_SQL} SELECT item_id AS query_id, b.text IS NULL AS blank FROM benchmark b WHERE item_id IN (SELECT query_id FROM qrels)")
+def judged_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Queries that have a judgment."""
+    return items(spark, d).join(qrels(spark, d).select("query_id").distinct(), "query_id", "left_semi").select("query_id", F.col("text").isNull().alias("blank"))
+
+
+@query("SELECT id, embedding FROM (SELECT 'd' || doc_id AS id, " + letters_sql("coalesce(text, '')") + "::DOUBLE[] AS embedding FROM documents)")
+def attach_cached_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """Vectors are made once; the second time nothing is embedded."""
+    rows = docs(spark, d).select(F.concat(F.lit("d"), F.col("doc_ord")).alias("id"), "text")
+    path = shared_dir(spark, "vectors")
+    embedders.attach_cached(rows, LETTERS, path, key="id")
+    return embedders.attach_cached(rows, None, path, key="id").select("id", "embedding")
+
+
+@query("SELECT json_extract_string(j, '$.method') AS method, round(json_extract(j, '$.mrr')::DOUBLE, 6) AS mrr, 2::BIGINT AS n_methods FROM (VALUES ('{\"method\":\"a\",\"mrr\":0.5}'::JSON), ('{\"method\":\"b\",\"mrr\":0.25}'::JSON)) t(j)")
+def result_record(spark: SparkSession, d: str) -> DataFrame:
+    """The JSON record of a run, read again."""
+    cards = spark.createDataFrame([("a", 0.5), ("b", 0.25)], "method string, mrr double")
+    read = json.loads(metrics.record(cards.orderBy("method"), dataset="x"))
+    return spark.createDataFrame([(m["method"], m["mrr"], len(read["methods"])) for m in read["methods"]], "method string, mrr double, n_methods long")

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> SparkSession:
@@ -34,10 +35,12 @@ def local_session(cores: str | int = "*", partitions: int = 8, **conf: str) -> S
 def shared_dir(spark: SparkSession, kind: str) -> str:
     """A fresh folder name under spark.checkpoint.dir, which every executor can reach.
 
-    Only where the cluster names no such folder (tests, one machine) is a local
-    temporary one set.
+    Only on one machine that names no such folder (tests) is a local temporary one set; a
+    cluster without one is an error, since no folder of the driver's would do.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not base:
         base = tempfile.mkdtemp(prefix="lodestone-")
         spark.sparkContext.setCheckpointDir(base)
@@ -56,3 +59,17 @@ def ship_package(spark: SparkSession) -> None:
     root = Path(__file__).resolve().parent.parent
     context.addPyFile(shutil.make_archive(f"{folder}/lodestone", "zip", root, "lodestone"))
     context._lodestone_shipped = True
+
+
+def kept(df: DataFrame, kind: str) -> DataFrame:
+    """The rows written once to the shared folder and read from there."""
+    path = shared_dir(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, small: int = 256 << 20) -> DataFrame:
+    """The rows over all cores: a small file of one row group would be read and worked on by one
+    task. Larger tables come in many splits and stay as they are; only partitions differ."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= small else df

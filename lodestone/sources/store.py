@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import json
-import urllib.parse
 from collections.abc import Iterable
 from datetime import UTC, datetime
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,17 +53,29 @@ class ChunkStore:
         self.chunks.sparkSession.createDataFrame([(self.built_at,)], "built_at string").coalesce(1).write.mode("overwrite").json(f"{path}/meta")
 
     def save_json(self, path: str) -> None:
-        """One JSON document, for exchange; it is written from the driver row by row."""
-        target = Path(urllib.parse.urlparse(path).path)
-        target.parent.mkdir(parents=True, exist_ok=True)
-        with target.open("w") as f:
-            f.write(f'{{"version":1,"builtAt":{json.dumps(self.built_at)},"chunks":[')
+        """One JSON document, for exchange; the driver writes it row by row, to any file system
+        that Spark knows."""
+        spark = self.chunks.sparkSession
+        target = spark._jvm.org.apache.hadoop.fs.Path(path)
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+        held = [f'{{"version":1,"builtAt":{json.dumps(self.built_at)},"chunks":[']
+
+        def flush() -> None:
+            out.write(bytearray("".join(held).encode()))
+            held.clear()
+
+        try:
             for i, r in enumerate(self.chunks.orderBy("chunk_ord").toLocalIterator()):
                 row = {"id": r.id, "text": r.text, "embedding": list(r.embedding)}
                 if r.metadata is not None:
                     row["metadata"] = json.loads(r.metadata)
-                f.write(("," if i else "") + json.dumps(row, ensure_ascii=False))
-            f.write("]}")
+                held.append(("," if i else "") + json.dumps(row, ensure_ascii=False))
+                if len(held) >= 1000:
+                    flush()
+            held.append("]}")
+            flush()
+        finally:
+            out.close()
 
     @property
     def size(self) -> int:
@@ -74,7 +84,7 @@ class ChunkStore:
     def search(self, queries: DataFrame, k: int) -> DataFrame:
         """(query_id, rank, id, score) by cosine with queries (query_id, embedding)."""
         vectors = self.chunks.select(F.col("chunk_ord").alias("ord"), "embedding")
-        hits = dense.top_k_sql(vectors, queries, k)
+        hits = dense.top_k_any(vectors, queries, k)
         return hits.join(self.chunks.select(F.col("chunk_ord").alias("ord"), "id"), "ord").select("query_id", "rank", "id", "score")
 
     def keyword_search(self, queries: DataFrame, k: int) -> DataFrame:
