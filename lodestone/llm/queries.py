@@ -12,24 +12,33 @@ from lodestone.llm.common import fold, table
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of 50-byte strings that start in a smaller document go. Null texts are empty; equal
+    ids don't remove each other's bytes."""
     found = suffix.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
 def op2_ppm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of all texts, learned from those whose fold isn't 2. Null texts are
+    empty; a null doc_id is an ordinary row."""
     found = scoring.score(table(spark, sf_dir, "documents"), fold() % 7 != 2)
     return found.withColumn("held_out", fold() % 7 == 2)
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each document and benchmark item the most similar window of 0.75 or more. Blank texts
+    and items match nothing."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("distance")
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as it is read back from the archive. Null html is an empty payload; rows of
+    equal page_id are records of their own."""
     return warc.read(warc.write(table(spark, sf_dir, "pages"))).drop("record_id")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's score, learned from labels whose fold isn't 1. Texts without words get the bias."""
     docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").where(fold() % 3 != 1).select("doc_id", F.col("quality").alias("label"))
     scored = quality.score(docs, quality.fit(docs, labels))
@@ -37,25 +46,30 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text's language, learned from those whose fold isn't 2. Texts without letters are und."""
     docs = table(spark, sf_dir, "documents")
     found = language.predict(docs, language.fit(docs.where(fold() % 4 != 2)))
     return found.select("doc_id", (fold() % 4 == 2).alias("held_out"), "lang_pred", "score")
 
 
 def op7_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.9 or more, and components. Null, zero and non-finite vectors have none."""
     return embeddings.group(table(spark, sf_dir, "embeddings"))
 
 
 def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of 35-word windows that start anywhere else go. Null texts have no words."""
     found = substring.remove_repeats(table(spark, sf_dir, "documents"), texts=False)
     return found.select("doc_id", "n_words", "n_removed", found["kept"].alias("kept_sha256"))
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of each document. A null source is the last; null texts have size 0."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents of similarity 0.75 or more. Blank texts link with nothing."""
     return near.group(table(spark, sf_dir, "documents")).drop("doc", "key")
 
 

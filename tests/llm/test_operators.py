@@ -66,6 +66,68 @@ def test_near_dedup(spark, rows):
     assert near.group(table(spark, [])).count() == 0
 
 
+def morse(a, b, n):
+    """n words of a Thue-Morse sequence, and those with both exchanged."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return ["".join(b if x else a for x in bits), "".join(a if x else b for x in bits)]
+
+
+def test_patterns_that_collide_in_polynomials(spark):
+    """Long words of alternating letters differ for every operator that hashes words."""
+    one, two = morse("a", "b", 2048)
+    around = lambda w: " ".join([f"w{i}" for i in range(34)] + [w])
+    rows = [(0, one), (1, two), (2, around(one)), (3, around(two)), (4, one + "c" * 60), (5, two + "c" * 60)]
+    df = table(spark, rows)
+    assert {r.doc_id: r.component_id for r in near.group(df).collect()} == {d: c for d, (_, c) in near.brute(rows).items()}
+    assert {r.doc_id: r.n_removed for r in substring.remove_repeats(df).collect()} == dict.fromkeys(range(6), 0)
+    want = [w[:3] for w in suffix.brute(rows, 50)]
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix.remove_repeats(df).collect()) == [(i, *w) for i, w in enumerate(want)]
+    items = spark.createDataFrame([(9, one)], "item_id long, text string")
+    assert {r.doc_id for r in decontaminate.matches(df, items).collect()} == {0, 2}
+    from pyspark.sql import functions as F
+
+    known = {r.doc_id: r.n_known for r in scoring.score(df, F.col("doc_id") == 0).collect()}
+    assert known == {0: 2, 1: 1, 2: 2, 3: 1, 4: 1, 5: 1}
+
+
+def test_texts_longer_than_a_chunk(spark):
+    """A text of 600 kB and its copies among others, and one of 20,000 words."""
+    rng = random.Random(15)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghijklmno") for _ in range(5)) for _ in range(n))
+    long = words(100_000)
+    rows = [(0, long), (1, words(20_000)), (2, f"x {long[:300_000]} {words(50)}"), (3, long), (4, words(30)), (5, rng.choice([long])[200_000:400_000])]
+    df = table(spark, rows)
+    assert {r.doc_id: r.component_id for r in near.group(df).collect()} == {d: c for d, (_, c) in near.brute(rows).items()}
+    want = substring.brute([t for _, t in rows], 35)
+    assert sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring.remove_repeats(df).collect()) == [(i, *w) for i, w in enumerate(want)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans) for r in suffix.remove_repeats(df).collect()}
+    # by hand: all of 3 and 5, the copied part of 2
+    assert got[3] == (len(long), len(long), 1) and got[5] == (200_000, 200_000, 1) and got[0][1] == got[1][1] == got[4][1] == 0
+    assert 300_000 <= got[2][1] <= 300_004 and got[2][2] == 1
+
+
+def test_near_dedup_finds_pairs_at_the_threshold(spark):
+    """Pairs of similarity 0.75 to 0.8, each of words of its own: at least 0.99 are found, and
+    none below."""
+    rng = random.Random(16)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(6))
+    rows = []
+    for i in range(800):
+        w = [word() for _ in range(104)]
+        # five shingles change with each word that stands apart from others: 100 + 100 - 2c in both
+        changed = w[:]
+        for j in (range(10, 10 + 30 * (2 + i % 2), 30)):
+            changed[j] = word()
+        tail = 3 + i % 5
+        changed[-tail:] = [word() for _ in range(tail)]
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(changed))]
+    want = {d: c for d, (_, c) in near.brute(rows).items()}
+    got = {r.doc_id: r.component_id for r in near.group(table(spark, rows)).collect()}
+    linked = [d for d, c in want.items() if c != d]
+    assert len(linked) >= 100 and all(got[d] in (d, want[d]) for d in want)
+    assert sum(got[d] == want[d] for d in linked) >= 0.99 * len(linked)
+
+
 def test_near_dedup_of_many_alike(spark):
     """A chain of texts of which neighbours alone are alike."""
     base = [f"w{i}" for i in range(200)]
