@@ -74,18 +74,19 @@ def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from found.batches()
 
 
-def components(edges: DataFrame, kind: str = "links") -> DataFrame:
+def components(edges: DataFrame, kind: str = "links", thin: bool = False) -> DataFrame:
     """(node, component): the least node reachable, for every node of edges (a, b).
 
-    Every task first thins its edges to a forest. Then large-star and small-star in turn: each
+    Every task first thins its edges to a forest, unless they are `thin` already. Then large-star and small-star in turn: each
     round joins nodes to the least neighbour, and ends when every node hangs on its
     component's least. A hub's neighbours are dealt by SALT places, in a shuffle that no
     aggregation shares, so that a still larger one can be split at run time. Rounds are
     written to the shared folder, so lineage stays short. Nulls and self-links are left out;
     no edges, no rows.
     """
-    thin = edges.where("a <> b").select("a", "b").mapInArrow(forest, "a long, b long")
-    e = saved(thin.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), kind)
+    edges = edges.where("a <> b").select("a", "b")
+    edges = edges if thin else edges.mapInArrow(forest, "a long, b long")
+    e = saved(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), kind)
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))

@@ -297,7 +297,7 @@ def settled(forest: DataFrame, members: DataFrame, classes: DataFrame, docs: Dat
     (cid, component) of open buckets. Members of a cluster's largest
     component and the rest are cut into blocks of per_block, -1, -2, ... and 0, 1, ...; each two
     blocks of which one at least is of the rest are a task of their own."""
-    found = components(forest, "near-forest")
+    found = components(forest, "near-forest", thin=True)
     clusters = found.select(F.col("node").alias("component"), F.col("component").alias("cluster"))
     known = saved(members.join(clusters, "component").select("cluster", "cid", "component"), "near-clusters")
     dropped(found)
@@ -341,7 +341,7 @@ def group(docs: DataFrame, width: int = 5, per_block: int = 512) -> DataFrame:
         ).select("f1", "f2", "n", "sig", "least", F.col("least.doc").alias("doc"), F.col("least.key").alias("key"), F.monotonically_increasing_id().alias("cid")),
         "near-classes",
     )
-    shards = parts_for(docs, 40)
+    shards = parts_for(docs, 20)
     parts = min(shards, PARTS)
     blocks = classes.select("cid", "sig").mapInArrow(spread(shards), R.BLOCK)
     found = saved(dealt(blocks, shards).mapInArrow(R.by_shard(buckets), PAIRS), "near-buckets")
