@@ -186,9 +186,9 @@ def with_spans(docs: DataFrame, width: int, gram: int, carried: str) -> DataFram
     """Keyed docs with the spans (array<binary>, null: none) of their repeated windows."""
     runs = R.repeated_runs(docs, width, gram, True, mb_per_shard=64, bits=22)
     shards = parts_for(docs, 40)
-    # The same columns as in the last join, so that both share one shuffle of the texts.
+    # The same columns as in the last join, none left out, so that both share one shuffle of the texts.
     found = docs.join(runs.hint("shuffle_hash"), ["doc", "key"]).select(carried, "doc", "key", "text", "runs")
-    blocks = found.select("doc", "key", "text", "runs").mapInArrow(fingerprints(width, gram, shards), R.BLOCK)
+    blocks = found.mapInArrow(fingerprints(width, gram, shards), R.BLOCK)
     hits = dealt(blocks, shards).mapInArrow(groups(shards), R.BLOCK)
     spans = hits.groupBy("doc", "key").agg(F.collect_list("blob").alias("spans"))
     return docs.join(spans.hint("shuffle_hash"), ["doc", "key"], "left").select(carried, "text", "spans")
