@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
+import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.session import shared_dir
 
+BATCH_BYTES = 16 << 20
 #: Most partitions of a shuffle.
 PARTS = 20_000
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -41,6 +43,15 @@ def dealt(blocks: DataFrame, shards: int) -> DataFrame:
     return out.sortWithinPartitions("shard") if shards > parts else out
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Texts travel to Python workers in batches of at most BATCH_BYTES, of which a task holds
+    several copies; a lower limit of the session's stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key, ""))
+    if not now or not 0 < int(now[1]) <= BATCH_BYTES:
+        spark.conf.set(key, f"{BATCH_BYTES}b")
+
+
 def fold(doc_id: str = "doc_id") -> Column:
     """crc32 of doc_id as text, by which rows are held out."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary"))

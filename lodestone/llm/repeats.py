@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.llm import kernels as K
-from lodestone.llm.common import dealt, parts_for
+from lodestone.llm.common import dealt, parts_for, small_batches
 
 U = np.uint64
 #: Place and number of windows of a run.
@@ -70,6 +70,7 @@ def keyed(docs: DataFrame, least: int = 0, whole: bool = False) -> DataFrame:
     `whole` all but text do as one column `row` instead of doc_id. Rows whose texts have fewer
     than `least` bytes never meet anything; their keys are of their own, so that any number of
     them is spread."""
+    small_batches(docs.sparkSession)
     key = F.xxhash64("doc_id", "text")
     if least:
         key = F.when(F.octet_length("text") >= least, key).otherwise(F.xxhash64(F.monotonically_increasing_id()))
@@ -90,6 +91,7 @@ def unkeyed(rows: DataFrame, columns: list[str], *more: str) -> DataFrame:
 def filtered(docs: DataFrame, chosen: Callable[[pa.Array], np.ndarray]) -> DataFrame:
     """The rows, all columns, of which chosen(texts) holds; nothing is shuffled. Columns go by
     place, since names may hold anything."""
+    small_batches(docs.sparkSession)
     at = [c.lower() for c in docs.columns].index("text")
     plain = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
 
