@@ -47,7 +47,7 @@ def small_batches(spark: SparkSession) -> None:
     """Texts travel to Python workers in batches of at most BATCH_BYTES, of which a task holds
     several copies; a lower limit of the session's stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key, ""))
+    now = re.fullmatch(r"(\d+)b?", spark.conf.get(key))
     if not now or not 0 < int(now[1]) <= BATCH_BYTES:
         spark.conf.set(key, f"{BATCH_BYTES}b")
 
