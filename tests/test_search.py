@@ -61,6 +61,35 @@ def test_dense_top_k_agrees(spark):
     assert "WindowGroupLimit" in dense.top_k_sql(v, q, 5)._jdf.queryExecution().executedPlan().toString()
 
 
+def test_dense_top_k_sql_by_columns(spark, monkeypatch):
+    """As pair by pair, though scores come from columns and only what reaches a bound is sorted."""
+    rng = np.random.default_rng(1)
+    x = [r.tolist() for r in np.round(rng.normal(size=(400, 5)), 1)]
+    for i in range(100, 160):
+        x[i] = x[3]
+    x[9], x[10], x[50] = [0.0] * 5, [1e-170] * 5, [1e160] * 5
+    odd = {20: [1.0, 0.5], 21: [], 22: None, 23: [1.0, None, 0.0, 0.0, 1.0], 24: [float("nan")] * 5, 25: [float("inf"), 1.0, 0.0, 0.0, 0.0], 26: [1.0] * 9}
+    rows = lambda df: sorted((r.query_id, r.rank, r.ord, repr(None if r.score is None else round(r.score, 9) + 0.0)) for r in df.collect())
+    v = spark.createDataFrame([(i, odd.get(i, r)) for i, r in enumerate(x)], "ord long, embedding array<double>")
+    q = v.where("ord < 30 or ord = 50").select(F.col("ord").alias("query_id"), "embedding")
+    for k, size in ((7, 400), (500, 32 << 20)):
+        monkeypatch.setattr(dense, "SLICE", size)
+        assert rows(dense.top_k_sql(v, q, k)) == rows(dense.top_k_pairs(v, q, k))
+    v = spark.createDataFrame(list(enumerate(x)), "ord long, embedding array<double>")
+    q = v.where("ord < 30").select(F.col("ord").alias("query_id"), "embedding")
+    plan = dense.top_k_sql(v, q, 7)._jdf.queryExecution().executedPlan().toString()
+    assert "zip_with" not in plan and "CartesianProduct" not in plan and ">= least" in plan
+    assert dense.top_k_sql(v, q.limit(0), 7).count() == dense.top_k_sql(v.limit(0), q, 7).count() == 0
+
+
+def test_dense_top_k_sql_of_long_vectors(spark):
+    x = np.random.default_rng(2).normal(size=(60, 130))
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "ord long, embedding array<double>")
+    q = v.where("ord < 5").select(F.col("ord").alias("query_id"), "embedding")
+    rows = lambda df: sorted((r.query_id, r.rank, r.ord, round(r.score, 9)) for r in df.collect())
+    assert rows(dense.top_k_sql(v, q, 5)) == rows(dense.top_k(v, q, 5, 130))
+
+
 def ranked(spark, *lists):
     return [spark.createDataFrame([(0, i, x) for i, x in enumerate(ids, 1)], "query_id long, rank int, id string") for ids in lists]
 
